@@ -11,6 +11,8 @@ by one, whatever their ids; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,7 @@ CC_GATE = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|zero)"
 PREFIX = "__license_"
 
 
-def _gate(text: Column) -> Column:
-    low = F.lower(text)
+def _gate(low: Column) -> Column:
     out = low.rlike(CC_GATE)
     for word in GATE:
         out = out | F.contains(low, F.lit(word))
@@ -52,7 +53,8 @@ def _follows(words: Column, w: Column, i: Column, parts: list[str]) -> Column:
 
 
 def _rule_array() -> Column:
-    return F.array(*[F.struct(F.lit(r.keyword).alias("k"), F.lit(r.regex).alias("x"), F.lit(r.label).alias("l"), F.lit(r.priority).alias("p")) for r in rules()])
+    """The rules as one constant, which Spark folds when it plans."""
+    return F.from_json(F.lit(json.dumps([{"k": r.keyword, "x": r.regex, "l": r.label, "p": r.priority} for r in rules()])), "array<struct<k:string,x:string,l:string,p:int>>")
 
 
 def _intervals(norm: Column, rule: Column) -> Column:
@@ -88,10 +90,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __license_ columns: n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
     p = PREFIX
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    gate = _gate(t)
+    # A column of its own: the gate reads it some twenty times.
+    docs = docs.withColumn(f"{p}low", F.lower(t))
+    gate = _gate(F.col(f"{p}low"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     norm = F.when(gate, F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(t, upper, lower), f"{NOT_WORD}+", " ")), F.lit(" ")))
-    out = docs.withColumns({f"{p}n_words": F.regexp_count(t, F.lit(f"[^{NOT_WORD[1:-1]}]+")).cast("bigint"), f"{p}norm": norm})
+    out = docs.withColumns({f"{p}n_words": F.regexp_count(t, F.lit(f"[^{NOT_WORD[1:-1]}]+")).cast("bigint"), f"{p}norm": norm}).drop(f"{p}low")
     norm = F.col(f"{p}norm")
     none = F.array().cast("array<int>")
     words = F.when(norm.isNotNull(), F.split(F.btrim(norm), " "))
