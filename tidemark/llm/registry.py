@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality
+from . import bpe, license_scan, lines, quality, token_files
 from .common import table
 
+#: Where the public vocabularies are; they are read, never copied.
+RANKS = os.environ.get("TIDEMARK_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
@@ -17,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_token_files, op8_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
