@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, lines, quality, token_files
+from . import bpe, license_scan, lines, quality, simhash, token_files
 from .common import table
 
 #: Where the public vocabularies are; they are read, never copied.
@@ -35,8 +35,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_token_files, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_token_files, op8_license_scan, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
