@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, lines, quality, simhash, token_files
+from . import bpe, decontaminate, license_scan, lines, pii, quality, simhash, token_files
 from .common import table
 
 #: Where the public vocabularies are; they are read, never copied.
@@ -15,6 +15,10 @@ RANKS = os.environ.get("TIDEMARK_RANKS") or public_tokenizers.path("byte_bpe_mul
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_token_files, op8_license_scan, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_byte_bpe, op5_token_files, op6_pii, op8_license_scan, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,8 +12,6 @@ _LOWER[65:91] += 32
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: dict[int, np.ndarray] = {}
-_SEED = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
 
 
@@ -75,29 +73,42 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mixed(sums + lens.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts, A-Z in lower case: hashes, and the texts they are of."""
+    """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts, A-Z in lower case.
+
+    Word k is raw[starts[k]:ends[k]]; text d has the words bounds[d] to bounds[d + 1].
+    """
 
     def __init__(self, column: pa.Array):
         raw, at = buffers(column)
-        self.raw = _LOWER[raw]
-        self.at = at
-        n = len(raw)
-        inside = np.zeros(n + 2, np.int8)
-        inside[1:-1] = ~_IS_WS[raw]
-        step = np.diff(inside)
+        self.raw, n = _LOWER[raw], len(raw)
+        space = _IS_WS[raw]
         first = np.zeros(n + 1, bool)
-        first[at] = True
-        # A text's bound also parts words.
-        joined = first[:-1] & (inside[1:-1] == 1) & (inside[:-2] == 1) if n else np.zeros(0, bool)
-        self.starts = np.flatnonzero((step[:-1] == 1) | joined) if n else np.zeros(0, np.int64)
-        ends = (step == -1)[: n + 1]
-        if n:
-            ends[:-1] |= joined
-        self.ends = np.flatnonzero(ends)
-        self.doc = np.searchsorted(at, self.starts, "right") - 1
-        self.bounds = np.searchsorted(self.starts, at)  # words of text d: bounds[d] to bounds[d + 1]
-        self.bounds[-1] = len(self.starts)
-
-    def hashes(self, base: int = BASES[0]) -> np.ndarray:
-        return segment_hash(_BYTE_VALUES[self.raw], self.starts, self.ends, base)
+        first[at] = True  # a text's bound parts words, too
+        head = ~space
+        tail = ~space
+        head[1:] &= space[:-1] | first[1:n]
+        tail[:-1] &= space[1:] | first[1:n]
+        self.starts, self.ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        self.bounds = np.searchsorted(self.starts, at)
+
+    def text_of(self, words: np.ndarray) -> np.ndarray:
+        """The texts that words are of."""
+        return np.searchsorted(self.bounds, words, "right") - 1
+
+    def hashes(self, seed: int = BASES[0]) -> np.ndarray:
+        """A 64-bit hash of each word, read eight bytes at a time."""
+        padded = np.zeros(len(self.raw) + 8, np.uint8)
+        padded[: len(self.raw)] = self.raw
+        eight = np.ndarray(len(self.raw) + 1, "<u8", padded, strides=(1,))
+        left = self.ends - self.starts
+        out = mixed(eight[self.starts] & _MASKS[np.minimum(left, 8)] ^ mixed(left.astype(np.uint64) + np.uint64(seed)))
+        more, k = np.flatnonzero(left > 8), 8
+        while len(more):
+            out[more] = mixed(out[more] * np.uint64(5) + (eight[self.starts[more] + k] & _MASKS[np.minimum(left[more] - k, 8)]))
+            k += 8
+            more = more[left[more] > k]
+        return out
