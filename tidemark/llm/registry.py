@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, lines, pii, quality, simhash, token_files
+from . import bpe, decontaminate, language_model, license_scan, lines, passages, pii, quality, simhash, token_files
 from .common import table
 
 #: Where the public vocabularies are; they are read, never copied.
@@ -27,6 +27,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -35,6 +39,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_byte_bpe, op5_token_files, op6_pii, op8_license_scan, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_byte_bpe, op4_language_model, op5_token_files, op6_pii, op7_passages, op8_license_scan, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
