@@ -73,7 +73,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.col(f"{p}n_words")
     failed = (n < MIN_WORDS) | (F.lit(100) * F.col(f"{p}n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * n)
     soft = (F.col(f"{p}n_symbols") > SYMBOL_SHARE * F.col(f"{p}word_chars")) | (F.col(f"{p}n_dup_lines") > DUP_LINE_SHARE * F.size(f"{p}lines"))
-    return out.withColumns({f"{p}base_failed": failed, f"{p}soft_failed": soft}).drop(f"{p}lines")
+    # A filter on the flags would be pushed below and work out the measures again for each use;
+    # it stops at a projection with a row number that the filter reads, too.
+    return out.withColumns({f"{p}base_failed": failed, f"{p}soft_failed": soft, f"{p}row": F.monotonically_increasing_id()}).drop(f"{p}lines")
 
 
 def _host(host: str) -> Column:
@@ -115,7 +117,7 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", host_rate:
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    return judged(docs, text, host).filter(f"{PREFIX}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, text, host).filter(F.col(f"{PREFIX}kept") & (F.col(f"{PREFIX}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
