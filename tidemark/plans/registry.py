@@ -2,6 +2,231 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import asof, dedupe, html, identity, impact, lexicon, macro, retention, workflow
+from ..sources import versions
+from . import adapters as A
+from .oracles import ORACLE_SQL  # noqa: F401
+
 FLAGSHIP = "impact_synthesis"
+QUERIES: dict = {}
+WORDS = {"the": 1, "and": 1, "thing": 2, "der": -1, "que": -2, "und": 1, "les": -1}
+SIZES = {"with": 1, "mit": -1}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _us(c: str):
+    return F.unix_micros(c).alias(c)
+
+
+@query
+def news_asof_window(spark: SparkSession, d: str) -> DataFrame:
+    return asof.visible(A.news(spark, d), A.CUTOFF, 20).select("row_ord", "market", _us("published_at"), _us("available_at"))
+
+
+@query
+def security_semi_or_marketwide(spark: SparkSession, d: str) -> DataFrame:
+    return asof.for_securities(A.news(spark, d), "US", ["T3", "T7"]).select("row_ord", F.array_join("security_ids", ",").alias("ids"))
+
+
+@query
+def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "pages").select("page_id", S.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query
+def body_hash_dups(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.news(spark, d).select(S.body_hash(F.col("body")).alias("body_hash"), "row_ord")
+    return rows.groupBy("body_hash").agg(F.count("*").alias("n"), F.min("row_ord").alias("first")).filter("n > 1")
+
+
+@query
+def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.news(spark, d).select("row_ord", "available_at", "published_at", "event_cluster", S.body_hash(F.col("body")).alias("body_key"), F.when(F.col("url") != "", F.concat(S.canonical_url(F.col("url")), F.lit("#"), F.col("row_ord") % 400)).otherwise("").alias("url_key"))
+    at = F.coalesce(F.unix_micros("available_at"), F.unix_micros("published_at"), F.lit(-(2**62)))
+    out = dedupe.greedy_dedupe(rows, ["url_key", "body_key", "event_cluster"], [(-at).alias("_at")])
+    return out.select("row_ord", "kept", "duplicate_of")
+
+
+@query
+def lexicon_grade(spark: SparkSession, d: str) -> DataFrame:
+    grade, reason = lexicon.graded(F.col("evidence_scope"), F.substring("body", 1, 400), F.col("title"), WORDS)
+    score = lexicon.score(F.col("body"), WORDS, SIZES)
+    return A.news(spark, d).select("row_ord", grade.alias("grade"), reason.alias("reason"), score.cast("bigint").alias("score"))
+
+
+@query
+def event_impact_decay(spark: SparkSession, d: str) -> DataFrame:
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return A.reviews(spark, d).select("row_ord", F.round(impact.contribution(at), 6).alias("contribution"), impact.invalid(at).alias("invalid"))
+
+
+@query
+def supersede_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF).select("task_id", "row_ord", _us("available_at"))
+
+
+@query
+def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = impact.representatives(impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF))
+    return rows.select("event_cluster", "row_ord", "members", _us("event_time"))
+
+
+@query
+def impact_synthesis(spark: SparkSession, d: str) -> DataFrame:
+    return impact.synthesis(A.reviews(spark, d), A.IMPACT_ASOF)
+
+
+@query
+def contribution_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = impact.representatives(impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF)).withColumn("x", F.round(impact.contribution(F.lit(A.IMPACT_ASOF).cast("timestamp")), 6))
+    return rows.orderBy(F.abs("x").desc(), F.asc("row_ord")).limit(20).select("row_ord", "event_cluster", F.col("x").alias("contribution"))
+
+
+@query
+def macro_latest_vintage(spark: SparkSession, d: str) -> DataFrame:
+    return asof.latest_vintages(A.macro(spark, d), "2024-01-20 00:00:00").select("series_id", F.col("observation_date").cast("string").alias("day"), "row_ord", "value")
+
+
+@query
+def macro_lag20(spark: SparkSession, d: str) -> DataFrame:
+    series = asof.latest_vintages(A.macro(spark, d), "2024-01-28 00:00:00")
+    a = macro.lag_reading(series).withColumn("kind", F.lit("difference"))
+    return a.unionAll(macro.lag_reading(series, log=True).withColumn("kind", F.lit("log")))
+
+
+@query
+def macro_nearest_year(spark: SparkSession, d: str) -> DataFrame:
+    return macro.year_over_year(A.yearly(spark, d))
+
+
+@query
+def macro_spread(spark: SparkSession, d: str) -> DataFrame:
+    return macro.spread(asof.latest_vintages(A.macro(spark, d), "2024-01-20 00:00:00"), "purchase", "view")
+
+
+@query
+def identity_resolve_interval(spark: SparkSession, d: str) -> DataFrame:
+    return identity.resolve(A.requests(spark, d), A.securities(spark, d))
+
+
+@query
+def task_queue_prepare(spark: SparkSession, d: str) -> DataFrame:
+    rows = asof.for_securities(A.news(spark, d), "US", ["T1", "T2", "T3", "T4"]).filter("workflow_task_id IS NOT NULL AND evidence_scope IN ('title', 'abstract', 'none')")
+    return dedupe.first_per_task(rows, "workflow_task_id", "published_at", A.CUTOFF).select("workflow_task_id", "row_ord")
+
+
+@query
+def coverage_asof(spark: SparkSession, d: str) -> DataFrame:
+    return workflow.coverage(A.tasks(spark, d), A.task_states(spark, d), "2024-01-15 00:00:00")
+
+
+@query
+def dispositions_apply(spark: SparkSession, d: str) -> DataFrame:
+    events = A.news(spark, d).withColumn("task", F.col("row_ord") % 500)
+    return workflow.apply_dispositions(events, A.task_states(spark, d), "2024-01-15 00:00:00", "task").select("row_ord", "workflow_status", "event_cluster")
+
+
+@query
+def review_retractions(spark: SparkSession, d: str) -> DataFrame:
+    reasons = A.table(spark, d, "events").select(F.expr("concat(user_id, '-', event_id % 40)").alias("task_id")).distinct().filter("task_id LIKE '%7'").withColumn("reason", F.concat(F.lit("withdrawn "), F.col("task_id")))
+    return workflow.retractions(A.reviews(spark, d), reasons, "2024-03-01 00:00:00").select("task_id", "row_ord", "grade", "reason", _us("available_at"))
+
+
+@query
+def pending_anti(spark: SparkSession, d: str) -> DataFrame:
+    done = A.task_states(spark, d).filter("status = 'verified'").select("task_id").distinct()
+    return workflow.pending(A.tasks(spark, d), done).select("task_id", _us("published_at"))
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("attempt_ord"), F.expr("element_at(array('source', 'title', 'company'), cast(turn % 3 AS int) + 1)").alias("kind"), F.when(F.length("text") % 3 == 0, "fetched").otherwise("unavailable").alias("status"))
+
+
+@query
+def fallback_first_success(spark: SparkSession, d: str) -> DataFrame:
+    return workflow.first_success(_attempts(spark, d))
+
+
+@query
+def collection_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(_attempts(spark, d))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    got = F.col("status") == "fetched"
+    return rows.agg(F.count_if(got).alias("fetched"), F.count_if(~got).alias("unresolved"), F.count_if(F.col("kind") != "source").alias("search_requests"), F.count_distinct("task_id").alias("tasks"))
+
+
+@query
+def excerpt_200_words(spark: SparkSession, d: str) -> DataFrame:
+    body = F.col("text")
+    n = F.size(S.words(body))
+    usable = ~S.restricted(body) & (F.length(body) >= 300) & (n >= 40)
+    return A.table(spark, d, "documents").select("doc_id", F.sha2(S.excerpt(body).cast("binary"), 256).alias("excerpt_sha256"), (n > 200).alias("truncated"), usable.alias("usable"))
+
+
+@query
+def publication_metadata(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.expr("cast(event_id % 4 AS int)")
+    stamp = F.when(text == 0, F.concat(day, F.lit("Z"))).when(text == 1, F.concat(day, F.lit("+08:00"))).when(text == 2, day).otherwise(F.concat(F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+    return A.table(spark, d, "events").select("event_id", F.unix_seconds(S.publication_time(stamp)).alias("published"))
+
+
+@query
+def event_id_hash(spark: SparkSession, d: str) -> DataFrame:
+    return A.news(spark, d).select("row_ord", S.event_id(F.col("published_at"), F.col("security_ids"), F.lit("Title of one"), F.col("url")).alias("event_id"))
+
+
+@query
+def retention_expired_groups(spark: SparkSession, d: str) -> DataFrame:
+    return retention.expired_groups(A.files(spark, d), "1998-01-01 00:00:00").select("group_key", "files", "bytes", _us("newest"))
+
+
+@query
+def raw_observation_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "events").select(F.sha2(F.col("props").cast("binary"), 256).alias("sha256"), F.col("ts").cast("timestamp").alias("at"))
+    out = retention.observation_merge(rows, "sha256", "at")
+    return out.select("sha256", "n", _us("first_observed_at"), _us("last_observed_at"))
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_custkey") % 300).alias("name"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("version"), F.concat(F.lit("/p/"), F.col("o_orderkey")).alias("path"), F.col("o_custkey").alias("rows"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
+@query
+def catalog_latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    required = A.table(spark, d, "customer").select(F.concat(F.lit("d"), F.col("c_custkey") % 350).alias("name")).distinct()
+    return versions.snapshot(required, _catalog(spark, d)).select("name", "version", "rows", "missing")
+
+
+@query
+def source_policy_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "events").select("event_id", F.expr("element_at(array('sec', 'fred', 'gdelt', 'hkma', 'other'), cast(event_id % 5 AS int) + 1)").alias("source"), F.expr("CASE WHEN event_id % 3 = 0 THEN 'hk' ELSE 'us' END").alias("market"), F.expr("element_at(array('news', 'macro', 'filings'), cast(event_id % 7 % 3 AS int) + 1)").alias("dataset"))
+    return versions.allowed(rows, "source", "market", "dataset")
+
+
+@query
+def context_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = asof.visible(A.news(spark, d), A.CUTOFF, 20)
+    graded = F.col("evidence_scope").isin("full_text", "official_excerpt", "numeric", "source_excerpt")
+    return rows.orderBy(graded.desc(), F.desc_nulls_last("published_at"), F.asc("row_ord")).limit(50).select("row_ord", graded.alias("graded"), _us("published_at"))
+
+
+@query
+def review_admissibility_violations(spark: SparkSession, d: str) -> DataFrame:
+    at = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return A.reviews(spark, d).select("row_ord", impact.invalid(at).alias("violation")).filter("violation IS NOT NULL").groupBy("violation").agg(F.count("*").alias("n"), F.min("row_ord").alias("first"))
+
+
+@query
+def html_article_text(spark: SparkSession, d: str) -> DataFrame:
+    return html.articles(A.table(spark, d, "pages"), "page_id", "html")
