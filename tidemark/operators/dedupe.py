@@ -26,7 +26,7 @@ def greedy_dedupe(rows: DataFrame, keys: list[str], order: list, max_rounds: int
         marked = undecided.join(first, ["i", "k"])
         lead = marked.groupBy("row_ord", "pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("lead")).filter("lead").select("row_ord", "pos")
         new = written(undecided.join(lead.select("row_ord"), "row_ord", "left_semi"))
-        taken = new.select("i", "k", F.col("row_ord").alias("owner"))
+        taken = new.select("i", "k", F.col("row_ord").alias("owner"), F.col("pos").alias("owner_pos"))
         owners = taken if owners is None else written(owners.unionAll(taken))
         hit = undecided.join(taken.select("i", "k"), ["i", "k"], "left_semi").select("row_ord").distinct()
         undecided = written(undecided.join(hit, "row_ord", "left_anti"))
@@ -34,7 +34,8 @@ def greedy_dedupe(rows: DataFrame, keys: list[str], order: list, max_rounds: int
             break
     else:
         raise RuntimeError(f"dedup did not settle in {max_rounds} rounds")
-    of = every.join(owners, ["i", "k"]).groupBy("row_ord").agg(F.min_by("owner", "i").alias("owner"))
+    # An owner that comes later than a duplicate had not registered the key yet.
+    of = every.join(owners, ["i", "k"]).filter(F.col("owner_pos") <= F.col("pos")).groupBy("row_ord").agg(F.min_by("owner", "i").alias("owner"))
     out = rows.join(of, "row_ord", "left")
     kept = F.col("owner").isNull() | (F.col("owner") == F.col("row_ord"))
     return out.withColumns({"kept": kept, "duplicate_of": F.when(~kept, F.col("owner"))}).drop("owner")

@@ -83,7 +83,7 @@ ORACLE_SQL = {
     "security_semi_or_marketwide": f"WITH {NEWS} SELECT row_ord, array_to_string(security_ids, ',') AS ids FROM news WHERE market = 'US' AND (len(security_ids) = 0 OR list_has_any(security_ids, ['T3', 'T7']))",
     "canonical_urls": f"WITH {URLS} SELECT page_id, canonical FROM urls",
     "body_hash_dups": f"WITH {NEWS} SELECT {BODY_HASH} AS body_hash, count(*) AS n, min(row_ord) AS first FROM news GROUP BY 1 HAVING count(*) > 1",
-    "greedy_dedupe": f"""WITH RECURSIVE {NEWS}, {URLS}, keyed AS (
+    "greedy_dedupe": f"""WITH RECURSIVE {NEWS}, {URLS}, keyed AS MATERIALIZED (
   SELECT row_ord, row_number() OVER (ORDER BY coalesce(epoch_us(available_at), epoch_us(published_at)) DESC, row_ord) AS pos,
     CASE WHEN news.url <> '' THEN canonical || '#' || (row_ord % 400) ELSE '' END AS k0, {BODY_HASH} AS k1, event_cluster AS k2
   FROM news LEFT JOIN urls ON urls.page_id = row_ord % 50),
