@@ -82,7 +82,8 @@ class RunStore:
         return self._read(self.runs()).groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-anti-join the batch (key, h) with the runs and add its own run."""
+        """Merge-anti-join the batch (key, h) with the runs and add its own run, which is returned and stays as it is until the next batch."""
+        self._compact()
         own = batch.groupBy("h").agg(F.count("*").alias("n"), F.max("key").alias("last"))
         if self.runs():
             held = self._read(self.runs()).filter("fresh").select("h", F.lit(True).alias("held"))
@@ -90,9 +91,7 @@ class RunStore:
         else:
             own = own.withColumn("fresh", F.lit(True))
         path = self._write(own, 0)
-        added = self._read([path])
-        self._compact()
-        return added
+        return self._read([path])
 
     def _compact(self) -> None:
         for level in range(len(self.levels) + 1):
