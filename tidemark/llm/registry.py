@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, language_model, license_scan, lines, passages, pii, quality, simhash, token_files
 from .common import table
+from .oracles import OP2, OP10
 
 #: Where the public vocabularies are; they are read, never copied.
 RANKS = os.environ.get("TIDEMARK_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,4 +61,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are tested against brute force, round trips and held-out text."""
+    return {"op2_line_dedup": OP2, "op10_quality_rules": OP10}
