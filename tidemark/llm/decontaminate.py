@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Items and texts are word sequences (`[^\\x20\\x09-\\x0D]+`, A-Z in lower case). Item and
+Items and texts are sequences of words: digits, letters and all that is not ASCII, A-Z in
+lower case, so that punctuation, case and line breaks make no difference. Item and
 window of a text match if their word edit distance is at most ``floor((1 - SIMILARITY) *
 words of the item)``.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Words, chunks, mixed
+from .textbatch import PUNCTUATION, Words, chunks, mixed
 
 SIMILARITY = 0.8
 RECALL = 0.95
@@ -104,7 +105,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY):
         column = pa.array([t or "" for _, t in rows], pa.string())
-        words = Words(column)
+        words = Words(column, PUNCTUATION)
         hashes = words.hashes()
         self.words, self.ids, self.least, grams = [], [], [], {1: [], 2: [], 3: []}
         for k, (item, _) in enumerate(rows):
@@ -133,7 +134,7 @@ class Items:
 
     def hits(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, distance) of the best match of each row and item."""
-        words = Words(column)
+        words = Words(column, PUNCTUATION)
         hashes = words.hashes()
         if not len(hashes):
             return []

@@ -11,6 +11,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII but digits and letters.
+PUNCTUATION = np.arange(256) < 128
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _POWERS: dict[int, np.ndarray] = {}
 BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
 
@@ -77,15 +80,15 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts, A-Z in lower case.
+    """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts, A-Z in lower case; ``between`` may name other bytes that part words.
 
     Word k is raw[starts[k]:ends[k]]; text d has the words bounds[d] to bounds[d + 1].
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, between: np.ndarray = _IS_WS):
         raw, at = buffers(column)
         self.raw, n = _LOWER[raw], len(raw)
-        space = _IS_WS[raw]
+        space = between[raw]
         first = np.zeros(n + 1, bool)
         first[at] = True  # a text's bound parts words, too
         head = ~space
