@@ -126,7 +126,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     store = RunStore(spark, folder)
     for part in _slices(lines, batches):
         store.add(lines.filter(part))
-    often = store.totals().filter(F.col("n") >= min_docs).select("h", "last")
+    # Written out, so that the join has a shuffle of its own on either side, which Spark can split at a hot line.
+    store.totals().filter(F.col("n") >= min_docs).select("h", "last").write.parquet(f"{folder}/often")
+    often = spark.read.schema("h binary, last long").parquet(f"{folder}/often")
     lost = lines.join(often, "h").filter(F.col("key").isNull() & F.col("last").isNotNull() | (F.col("key") < F.col("last")))
     return lost.groupBy("key").agg(F.collect_set("h").alias("drop"))
 
