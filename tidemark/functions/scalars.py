@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "cmpid"]
 RESTRICTED_PHRASES = ["access denied", "verify you are human", "enable javascript and cookies", "subscribe to continue", "sign in to read", "we do not host the original article"]
+SENSITIVE_KEYS = ["key", "token", "secret", "password", "authorization", "cookie", "contact"]
+QUOTE_PAGES = {"finance.yahoo.com": ["/quote/", "/chart/"], "seekingalpha.com": ["/symbol/"], "barrons.com": ["/market-data/"], "nasdaq.com": ["/market-activity/"]}
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -116,15 +118,30 @@ def security_id(market: Column, exchange: Column, ticker: Column) -> Column:
 
 
 def markdown_cell(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
+    """A table cell: a dash for nothing, no bars, line ends or tags."""
+    t = F.coalesce(F.nullif(text, F.lit("")), F.lit("—"))
+    for old, new in (("|", "／"), ("\n", " "), ("<", "&lt;"), (">", "&gt;")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
 
 
-def redacted(params: Column, keys: list[str]) -> Column:
+def safe_component(text: Column) -> Column:
+    """A file name's part: other characters as one underscore, 80 at most, never empty."""
+    t = F.substring(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"[^A-Za-z0-9._-]+", "_"), 1, 80)
+    return F.coalesce(F.nullif(t, F.lit("")), F.lit("unknown"))
+
+
+def redacted(params: Column, keys: list[str] = SENSITIVE_KEYS) -> Column:
     """A map with the values of keys that hold one of the given words replaced."""
     hit = lambda k: F.lower(k).rlike("|".join(keys))
-    return F.transform_values(params, lambda k, v: F.when(hit(k), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(params, lambda k, v: F.when(hit(k), F.lit("***")).otherwise(v))
 
 
 def public_url(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(url, r"^https://([^/?#:@]+)", 1))
-    return (host != "") & ~host.isin("localhost", "127.0.0.1")
+    """An https address of another machine that is not a quote page."""
+    where = r"^(?i:https)://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]+)(?::[0-9]*)?([^?#]*)"
+    host, path = F.lower(F.regexp_extract(url, where, 1)), F.regexp_extract(url, where, 2)
+    quote = F.lit(False)
+    for domain, heads in QUOTE_PAGES.items():
+        quote = quote | (host.endswith(domain) & path.rlike("^(" + "|".join(heads) + ")"))
+    return F.coalesce((host != "") & ~host.isin("localhost", "127.0.0.1", "[::1]") & ~quote, F.lit(False))

@@ -160,3 +160,30 @@ SELECT * FROM e WHERE (source = 'sec' AND market = 'us' AND dataset = 'filings')
     "context_topk": f"WITH {NEWS}, {VISIBLE} SELECT row_ord, {ADMITTED} AS graded, epoch_us(published_at) AS published_at FROM visible ORDER BY {ADMITTED} DESC, visible.published_at DESC NULLS LAST, row_ord LIMIT 50",
     "review_admissibility_violations": f"WITH {REVIEWS}, v AS (SELECT row_ord, {INVALID.format('2024-01-20')} AS violation FROM reviews) SELECT violation, count(*) AS n, min(row_ord) AS first FROM v WHERE violation IS NOT NULL GROUP BY 1",
 }
+
+
+def _cell(value: str) -> str:
+    return f"replace(replace(replace(replace(coalesce(nullif({value}, ''), '—'), '|', '／'), chr(10), ' '), '<', '&lt;'), '>', '&gt;')"
+
+
+_OBSERVED = """o AS (SELECT event_type || (user_id % 40) AS series_id, event_id, ts::DATE AS day, ts::DATE + (event_id % 300)::INTEGER AS released,
+  CASE WHEN event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 13 > 0 THEN (event_id % 1000) + 0.5::DOUBLE END AS value FROM events)"""
+ORACLE_SQL |= {
+    "vendor_headline_source": """SELECT 'U' || user_id AS security_id, event_type || ' ' || event_id AS title, 'https://v.example/' || event_id AS url, 'title' AS evidence_scope,
+  CASE WHEN event_id % 7 > 0 THEN epoch_us(date_trunc('second', ts)) END AS published_at, published_at AS available_at FROM events WHERE event_id % 10 > 1""",
+    "macro_vintage_source": f"""WITH {_OBSERVED} SELECT series_id, day::VARCHAR AS day, value, released::VARCHAR || ':9999-12-31' AS vintage_id,
+  epoch_us(timezone('America/New_York', released + TIME '23:59:59')) AS available_at FROM o WHERE value IS NOT NULL""",
+    "paged_source_receipt": f"""WITH {_OBSERVED} SELECT series_id, count(*) % 2 = 0 AS exhausted, count(*) % 2 = 1 AS cap_reached, count(value) AS record_count,
+  min(day) FILTER (value IS NOT NULL)::VARCHAR AS coverage_start, max(day) FILTER (value IS NOT NULL)::VARCHAR AS coverage_end FROM o GROUP BY 1""",
+    "candidate_sources": """WITH c AS (SELECT page_id % 20 AS task_id, CASE WHEN page_id % 7 = 0 THEN url ELSE 'https://e.example/' || (page_id % 60) END AS url, page_id FROM pages WHERE page_id % 9 > 0 AND page_id % 10 > 0),
+f AS (SELECT task_id, url, min(page_id) AS seen FROM c WHERE url LIKE 'https://%' GROUP BY 1, 2)
+SELECT task_id, url, row_number() OVER (PARTITION BY task_id ORDER BY seen) AS rank FROM f QUALIFY rank <= 5""",
+    "archived_replay": """WITH r AS (SELECT conv_id AS task_id, 'u' || (turn % 3) AS url, arg_min(length(text) % 3 = 0, turn) AS ok, arg_min(substr(text, 1, 20), turn) AS quote FROM conversations GROUP BY 1, 2),
+t AS (SELECT DISTINCT conv_id + k AS task_id, k FROM conversations, (VALUES (0), (1000000000)) x(k)),
+q AS (SELECT task_id, k, url FROM t, (VALUES ('u0'), ('u1'), ('u2'), ('u9')) u(url))
+SELECT q.task_id, q.url, CASE WHEN ok THEN 'fetched' ELSE 'unavailable' END AS status, CASE WHEN ok IS NULL THEN CASE WHEN k = 0 THEN 'URL_not_in_archived_fetch' ELSE 'archived_fetch_missing' END END AS reason, quote
+FROM q LEFT JOIN r USING (task_id, url)""",
+    "evidence_table": f"""WITH e AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'https://e.example/' || doc_id END AS url, CASE WHEN doc_id % 3 > 0 THEN '<' || source || '|' END AS named FROM documents)
+SELECT doc_id, '| ' || {_cell("substr(text, 1, 60)")} || ' | fetched | ' || CASE WHEN url = '' THEN '无来源' ELSE '[' || {_cell("coalesce(named, url)")} || '](' || url || ')' END
+  || ' | ' || {_cell("lang")} || ' | ' || {_cell("CASE WHEN doc_id % 5 = 0 OR text = '' THEN 'body_missing' ELSE substr(text, 1, 200) END")} || ' | — |' AS line FROM e""",
+}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, dedupe, html, identity, impact, lexicon, macro, retention, workflow
-from ..sources import versions
+from ..operators import asof, collection, dedupe, html, identity, impact, lexicon, macro, retention, workflow
+from ..sources import feeds, versions
 from . import adapters as A
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -230,3 +230,68 @@ def review_admissibility_violations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def html_article_text(spark: SparkSession, d: str) -> DataFrame:
     return html.articles(A.table(spark, d, "pages"), "page_id", "html")
+
+
+def _headline_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """A vendor's JSON list for each user."""
+    entry = F.struct(
+        F.expr("CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat(event_type, ' ', event_id) END").alias("headline"),
+        F.concat(F.lit("https://v.example/"), F.col("event_id")).alias("url"),
+        F.expr("CASE WHEN event_id % 7 > 0 THEN unix_seconds(cast(ts AS timestamp)) END").alias("datetime"),
+    )
+    return A.table(spark, d, "events").groupBy(F.concat(F.lit("U"), F.col("user_id")).alias("security_id")).agg(F.to_json(F.collect_list(entry)).alias("payload"))
+
+
+@query
+def vendor_headline_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = feeds.vendor_headlines(_headline_payloads(spark, d))
+    return rows.select(F.col("security_ids")[0].alias("security_id"), "title", "url", "evidence_scope", _us("published_at"), _us("available_at"))
+
+
+def _macro_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """A source's page for each kind of event and group of users."""
+    day = lambda c: F.date_format(F.expr(c), "yyyy-MM-dd")
+    entry = F.struct(
+        day("ts").alias("date"),
+        F.expr("CASE WHEN event_id % 7 = 0 THEN '.' WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN 'n/a' ELSE concat(event_id % 1000, '.5') END").alias("value"),
+        day("date_add(ts, cast(event_id % 300 AS int))").alias("realtime_start"),
+        F.lit("9999-12-31").alias("realtime_end"),
+    )
+    pages = A.table(spark, d, "events").groupBy(F.expr("concat(event_type, user_id % 40)").alias("series_id")).agg(F.collect_list(entry).alias("observations"), F.count("*").alias("n"))
+    return pages.select("series_id", F.to_json(F.struct((F.col("n") + F.col("n") % 2 * 5).alias("count"), "observations")).alias("payload"))
+
+
+@query
+def macro_vintage_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = feeds.macro_vintages(_macro_payloads(spark, d))
+    return rows.select("series_id", F.col("observation_date").cast("string").alias("day"), "value", "vintage_id", _us("available_at"))
+
+
+@query
+def paged_source_receipt(spark: SparkSession, d: str) -> DataFrame:
+    rows = feeds.page_receipt(_macro_payloads(spark, d))
+    return rows.select("series_id", "exhausted", "cap_reached", "record_count", F.col("coverage_start").cast("string").alias("coverage_start"), F.col("coverage_end").cast("string").alias("coverage_end"))
+
+
+@query
+def candidate_sources(spark: SparkSession, d: str) -> DataFrame:
+    url = F.expr("CASE WHEN page_id % 9 = 0 THEN 'https://finance.yahoo.com/quote/X' WHEN page_id % 10 = 0 THEN 'https://localhost/x' WHEN page_id % 7 = 0 THEN url ELSE concat('https://e.example/', page_id % 60) END")
+    rows = A.table(spark, d, "pages").select("page_id", F.expr("page_id % 20").alias("task"), url.alias("url"))
+    return collection.candidates(rows, "task", "page_id", "url", 5)
+
+
+@query
+def archived_replay(spark: SparkSession, d: str) -> DataFrame:
+    turns = A.table(spark, d, "conversations")
+    readings = turns.select(F.col("conv_id").alias("task_id"), F.expr("concat('u', turn % 3)").alias("url"), F.col("turn").alias("ord"), F.when(F.length("text") % 3 == 0, "read").otherwise("blocked").alias("status"), F.substring("text", 1, 20).alias("quote"))
+    tasks = turns.select(F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1_000_000_000)).alias("task_id")).distinct()
+    requests = tasks.select("task_id", F.explode(F.array(*map(F.lit, ("u0", "u1", "u2", "u9")))).alias("url"))
+    return collection.replay(requests, readings)
+
+
+@query
+def evidence_table(spark: SparkSession, d: str) -> DataFrame:
+    url = F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('https://e.example/', doc_id) END")
+    text = F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE substring(text, 1, 200) END")
+    line = collection.evidence_row(F.substring("text", 1, 60), F.lit("fetched"), F.expr("CASE WHEN doc_id % 3 > 0 THEN concat('<', source, '|') END"), url, F.col("lang"), text, F.lit(None).cast("string"))
+    return A.table(spark, d, "documents").select("doc_id", line.alias("line"))
