@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import collection
-from tidemark.sources import feeds
+from tidemark.operators import collection, reviews
+from tidemark.sources import feeds, versions
 
 
 def _payload(spark, text):
@@ -50,3 +50,18 @@ def test_replay_of_nothing(spark):
     requests = spark.createDataFrame([(1, "u"), (None, "u")], "task_id long, url string")
     empty = spark.createDataFrame([], "task_id long, url string, ord long, status string, quote string")
     assert [r["reason"] for r in collection.replay(requests, empty).collect()] == ["archived_fetch_missing"] * 2
+
+
+def test_review_import(spark, tmp_path):
+    sql = """SELECT {0} AS title, array(named_struct('url', 'https://a.b/c', 'published_at', timestamp'2024-01-01', 'evidence_locator', 'p1')) AS sources, 'f' AS fact_summary, 'w' AS grade_reason,
+      'full_text' AS evidence_scope, timestamp'{1}' AS reviewed_at, 'bullish' AS grade, 1 AS direction_sign, 'light' AS impact_level, 0.5D AS stock_relevance, 0.5D AS evidence_confidence, timestamp'2024-01-01' AS event_time"""
+    store = versions.Store(spark, f"file://{tmp_path}")
+    good = spark.sql(sql.format("'a'", "2024-01-02"))
+    reviews.import_reviews(store, "news", good, "2024-01-03 00:00:00")
+    reviews.import_reviews(store, "news", spark.sql(sql.format("'b'", "2024-01-05")), "2024-01-06 00:00:00")
+    assert sorted(r["title"] for r in store.load("news").collect()) == ["a", "b"]
+    late = spark.sql(sql.format("'c'", "2023-12-31"))
+    for bad in (late, good.unionByName(late), good.limit(0), good.withColumn("direction_sign", F.lit(-1)), good.withColumn("sources", F.slice("sources", 1, 0))):
+        with pytest.raises(ValueError):
+            reviews.import_reviews(store, "news", bad, "2024-01-07 00:00:00")
+    assert store.load("news").count() == 2

@@ -187,3 +187,17 @@ FROM q LEFT JOIN r USING (task_id, url)""",
 SELECT doc_id, '| ' || {_cell("substr(text, 1, 60)")} || ' | fetched | ' || CASE WHEN url = '' THEN '无来源' ELSE '[' || {_cell("coalesce(named, url)")} || '](' || url || ')' END
   || ' | ' || {_cell("lang")} || ' | ' || {_cell("CASE WHEN doc_id % 5 = 0 OR text = '' THEN 'body_missing' ELSE substr(text, 1, 200) END")} || ' | — |' AS line FROM e""",
 }
+
+
+_REVIEWED = """s AS (SELECT conv_id, turn, CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN 'http' ELSE 'https' END || '://e.example/' || conv_id || '/' || turn AS url,
+  CASE WHEN conv_id % 19 = 1 AND turn = 0 THEN '' ELSE 'p' || turn END AS locator FROM conversations),
+r AS (SELECT conv_id, ['very_bullish', 'neutral', 'bearish'][conv_id % 3 + 1] AS grade, arg_min(url, turn) AS url, string_agg(locator, '; ' ORDER BY turn) AS evidence_locator, max(turn) AS last,
+  CASE WHEN conv_id % 23 = 0 OR conv_id % 29 = 0 THEN 'uncited' WHEN conv_id % 13 % 4 = 3 THEN 'evidence_scope'
+    WHEN conv_id % 2 = 0 AND conv_id % 31 = 2 THEN 'impact' WHEN conv_id % 2 = 0 AND conv_id % 11 = 0 AND conv_id % 3 <> 1 THEN 'sign'
+    WHEN bool_or(locator = '' OR url LIKE 'http:%') THEN 'source' WHEN max(turn) > 6 THEN 'published_after_review' ELSE 'none' END AS problem FROM s GROUP BY conv_id)"""
+ORACLE_SQL |= {
+    "source_review_problems": f"WITH {_REVIEWED} SELECT conv_id, problem FROM r",
+    "source_review_events": f"""WITH {_REVIEWED} SELECT conv_id, url, evidence_locator, grade, 1704067200000000 + (conv_id % 100 + last) * 3600000000 AS published_at,
+  1704067200000000 + (conv_id % 100 + 6) * 3600000000 AS available_at FROM r WHERE problem = 'none'""",
+    "synthesis_keys": f"""WITH {NEWS} SELECT row_ord, coalesce(workflow_task_id, CASE WHEN row_ord % 4 = 0 THEN 'e' || row_ord END, CASE WHEN row_ord % 3 > 0 THEN 'evt-' || row_ord END, url) AS synth_key FROM news""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, collection, dedupe, html, identity, impact, lexicon, macro, retention, workflow
+from ..operators import asof, collection, dedupe, html, identity, impact, lexicon, macro, retention, reviews, workflow
 from ..sources import feeds, versions
 from . import adapters as A
 from .oracles import ORACLE_SQL  # noqa: F401
@@ -295,3 +295,48 @@ def evidence_table(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE substring(text, 1, 200) END")
     line = collection.evidence_row(F.substring("text", 1, 60), F.lit("fetched"), F.expr("CASE WHEN doc_id % 3 > 0 THEN concat('<', source, '|') END"), url, F.col("lang"), text, F.lit(None).cast("string"))
     return A.table(spark, d, "documents").select("doc_id", line.alias("line"))
+
+
+def _source_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """A review for each conversation, with its turns as sources."""
+    turns = A.table(spark, d, "conversations").select("conv_id", "turn")
+    at = lambda hours: F.expr(f"timestamp_micros(1704067200000000 + ({hours}) * {A.HOUR}L)")
+    source = F.struct(
+        "turn",
+        F.expr("concat(CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN 'http' ELSE 'https' END, '://e.example/', conv_id, '/', turn)").alias("url"),
+        at("conv_id % 100 + turn").alias("published_at"),
+        F.expr("CASE WHEN conv_id % 19 = 1 AND turn = 0 THEN '' ELSE concat('p', turn) END").alias("evidence_locator"),
+    )
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    return rows.select(
+        "conv_id",
+        F.when(F.expr("conv_id % 23 > 0"), F.col("sources")).alias("sources"),
+        F.lit("facts").alias("fact_summary"),
+        F.expr("CASE WHEN conv_id % 29 > 0 THEN 'why' END").alias("grade_reason"),
+        F.expr("element_at(array('full_text', 'numeric', 'official_excerpt', 'title'), cast(conv_id % 13 % 4 AS int) + 1)").alias("evidence_scope"),
+        at("conv_id % 100 + 6").alias("reviewed_at"),
+        F.expr("element_at(array('very_bullish', 'neutral', 'bearish'), cast(conv_id % 3 AS int) + 1)").alias("grade"),
+        F.expr("cast(CASE WHEN conv_id % 11 = 0 THEN 0 ELSE 1 - conv_id % 3 END AS int)").alias("direction_sign"),
+        F.expr("CASE WHEN conv_id % 2 = 0 THEN 'medium' END").alias("impact_level"),
+        F.lit(0.5).alias("stock_relevance"),
+        F.expr("CASE WHEN conv_id % 31 = 2 THEN 1.5D ELSE 0.5D END").alias("evidence_confidence"),
+        at("conv_id % 100").alias("event_time"),
+    )
+
+
+@query
+def source_review_problems(spark: SparkSession, d: str) -> DataFrame:
+    return _source_reviews(spark, d).select("conv_id", F.coalesce(reviews.problem(), F.lit("none")).alias("problem"))
+
+
+@query
+def source_review_events(spark: SparkSession, d: str) -> DataFrame:
+    rows = reviews.to_events(_source_reviews(spark, d).filter(reviews.problem().isNull()))
+    return rows.select("conv_id", "url", "evidence_locator", "grade", _us("published_at"), _us("available_at"))
+
+
+@query
+def synthesis_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.news(spark, d).withColumn("event_id", F.expr("CASE WHEN row_ord % 4 = 0 THEN concat('e', row_ord) ELSE '' END"))
+    kept = F.when(F.expr("row_ord % 3 > 0"), F.concat(F.lit("evt-"), F.col("row_ord")))
+    return rows.select("row_ord", reviews.synthesis_key(kept).alias("synth_key"))
