@@ -283,6 +283,37 @@ def test_passages(docs, spark):
     assert s <= 70 and e >= 130
 
 
+def test_longest_stretch():
+    rng, reach = np.random.default_rng(1), passages.REACH
+    x = rng.integers(0, 16, (400, 2 * reach + 1)).astype(np.uint8)
+    y = x.copy()
+    for row in y:
+        for _ in range(rng.integers(0, 6)):
+            k = rng.integers(0, len(row))
+            row[k : k + rng.integers(1, 20)] = rng.integers(0, 16)
+    y[:, reach] = x[:, reach]
+    a, b = rng.integers(0, reach + 1, (2, 400))
+    left, right, span = passages._stretch(x, y, a, b)
+    for i in range(400):
+        sums = np.concatenate([[0], np.cumsum(x[i] == y[i])])
+        spans = [u + v + 1 for u in range(a[i] + 1) for v in range(b[i] + 1) if 5 * (sums[reach + v + 1] - sums[reach - u]) >= 4 * (u + v + 1)]
+        assert span[i] == max(spans) and left[i] + right[i] < span[i] and left[i] <= a[i] and right[i] <= b[i]
+
+
+def test_passages_with_an_edit_near_an_end(spark):
+    rng, rows = random.Random(5), []
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for size, place in ((60, 11), (55, 9), (64, 13), (60, 48)):
+        for _ in range(15):
+            passage = text(size)
+            edited = [*passage[:place], "edited", *passage[place + 1 :]]
+            rows += [(len(rows) + k, " ".join(text(60) + p + text(60))) for k, p in enumerate((passage, edited))]
+    got = {r["doc_id"]: r["class_id"] for r in passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == k - k % 2 for k in got if k % 2 == 0)
+    for case in range(4):  # four hashes find a near copy with some chance only
+        assert sum(got[k] == k - 1 for k in range(30 * case + 1, 30 * case + 30, 2)) >= 13
+
+
 def test_simhash(docs):
     def mark(t):
         w = words_of(ascii_lower(t))
