@@ -314,6 +314,28 @@ def test_passages_with_an_edit_near_an_end(spark):
         assert sum(got[k] == k - 1 for k in range(30 * case + 1, 30 * case + 30, 2)) >= 13
 
 
+def test_passages_whose_least_window_differs(spark):
+    """Documents 0 and 1 hold parts of a passage only, and 2 (or also 3) windows of other contexts; 4 and 5 hold all of it."""
+    rng, rows, base = random.Random(6), [], 0
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for part, tail in ((30, 60), (40, 0), (48, 0)):
+        for _ in range(12):
+            p = text(50)
+            texts = [text(60) + p[:part] + text(tail), text(tail) + p[50 - part :] + text(60), text(60) + p[10:19] + text(60) + p[20:29] + text(60), text(60) + p[30:39] + text(70), text(60) + p + text(60), text(70) + p + text(60)]
+            rows += [(base + k, " ".join(t)) for k, t in enumerate(texts)]
+            base += 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {(r["key"], r["other"]) for r in passages.passage_links(docs).collect()}
+    # Either linked to each other or both to the same document.
+    near = collections.defaultdict(set)
+    for u, v in links:
+        near[u].add(v)
+        near[v].add(u)
+    lone = [b for b in range(0, base, 10) if not (b + 5 in near[b + 4] or near[b + 4] & near[b + 5])]
+    assert lone == []
+    assert not any(near[b + k] for b in range(0, 120, 10) for k in (0, 1, 2, 3))
+
+
 def test_simhash(docs):
     def mark(t):
         w = words_of(ascii_lower(t))
