@@ -396,6 +396,34 @@ def test_decontamination(spark, docs, sf_dir):
     assert out.columns == docs.columns and out.count() == len(pairs()) - sum(k in held for k, _ in pairs())
 
 
+@pytest.mark.parametrize("size", [20, 50, 100])
+def test_edits_clustered_at_the_front(size):
+    rng = random.Random(size)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(k, " ".join(rng.choices(vocab, k=size))) for k in range(30)]
+    block, found = decontaminate.Items(items), 0
+    for k, text in items:
+        w = text.split()
+        for at in rng.sample(range(size // 2), size // 5):
+            w[at] = "edit"
+        doc = " ".join(rng.choices(vocab, k=60) + w + rng.choices(vocab, k=60))
+        found += any(x[1] == k for x in block.hits(pa.array([doc])))
+    assert found == 30
+
+
+def test_ends_of_matches():
+    rng = random.Random(8)
+    for _ in range(500):
+        item, text, most = [rng.randrange(4) for _ in range(rng.randint(1, 9))], [rng.randrange(4) for _ in range(rng.randint(0, 14))], rng.randint(0, 5)
+        row = [0] * (len(text) + 1)
+        for x in item:
+            new = [row[0] + 1]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert decontaminate.ends(decontaminate.bits(item), len(item), text, most) == [j for j, cost in enumerate(row) if cost <= most]
+
+
 def test_edit_distance():
     def full(a, b):
         row = list(range(len(b) + 1))

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: shared word runs, bit-vector scans, exact edit verification.
 
 Items and texts are sequences of words: digits, letters and all that is not ASCII, A-Z in
 lower case, so that punctuation, case and line breaks make no difference. Item and
@@ -8,16 +8,12 @@ words of the item)``.
 Windows: a match leaves a run of ``q`` item words whole, ``q = min(3, ceil((L - e) / (e +
 1)))`` for L words and e edits, so a window that can match starts within e words of where
 some shared run of q words places it, and near it lie at least ``L - q + 1 - q * e`` such
-runs. Only such windows, of the item's size, are embedded;
-this loses none.
+runs. Only such windows are looked at; this loses none.
 
-Candidates: the CGK walk reads a window with a pointer that moves on or stays, as a random
-bit of (step, word) tells; edit distance becomes Hamming distance of the walks. Each of
-``REPEATS`` walks with its own bits samples ``SAMPLES`` steps; a window is a candidate if one
-repeat agrees in all its samples. ``REPEATS`` follows from ``RECALL``: one repeat keeps a
-window whose walk differs in a share h of the steps with (1 - h) ** SAMPLES, and a match may
-place e + 1 windows near its start. Verification is exact: banded dynamic programming, free
-at the window's end.
+Candidates: windows that overlap are scanned together by Myers' bit vectors, which tell where
+any stretch within the item's edits ends; a window is a candidate if such an end lies within
+its reach. This loses none either, wherever the edits stand. Verification is exact: banded
+dynamic programming, free at the window's end.
 
 The items are taken in blocks of ``BLOCK_ITEMS`` rows, so what reaches each task is bounded;
 every block meets all rows.
@@ -39,14 +35,9 @@ from pyspark.sql import functions as F
 from .textbatch import PUNCTUATION, Words, chunks, mixed
 
 SIMILARITY = 0.8
-RECALL = 0.95
-SAMPLES = 2
-WALK_SHARE = 0.5  # the share of steps in which a matching window's walk may differ
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - WALK_SHARE) ** SAMPLES))
 BLOCK_ITEMS = 4096
 CHUNK_BYTES = 3 << 20
 GATE_BITS = 22
-SEED = 0x5851F42D4C957F2D
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -81,22 +72,30 @@ def distance(item: list[int], window: list[int], most: int) -> tuple[int, int]:
     return (best, row.index(best)) if best <= most else (far, 0)
 
 
-def walks(words: np.ndarray, starts: np.ndarray, size: int, stop: np.ndarray, repeat: int) -> np.ndarray:
-    """The sampled steps of each window's CGK walk: one 64-bit signature a window.
-
-    A window is ``size`` words from its start, cut at ``stop``; behind its end the walk reads 0.
-    """
-    rng = np.random.Generator(np.random.PCG64([SEED, repeat]))
-    # Samples lie where the walk is still within the window for sure.
-    sampled = set(np.sort(rng.choice(size, min(SAMPLES, size), replace=False)).tolist())
-    step_keys = rng.integers(0, 2**63, size, dtype=np.uint64)
-    at, out = starts.copy(), np.zeros(len(starts), np.uint64)
-    end = np.minimum(starts + size, stop)
-    for step in range(max(sampled) + 1):
-        read = np.where(at < end, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        if step in sampled:
-            out = mixed(out * np.uint64(5) + read)
-        at += (mixed(read ^ step_keys[step]) & np.uint64(1)).astype(np.int64)
+def bits(item: list[int]) -> dict[int, int]:
+    """For each word of the item, the places where it stands, as bits."""
+    out: dict[int, int] = {}
+    for k, w in enumerate(item):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def ends(places: dict[int, int], size: int, text: list[int], most: int) -> list[int]:
+    """Where the text's stretches within most edits of an item end, exclusive: Myers' bit vectors, a column a word."""
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, cost, out = full, 0, size, [0] if size <= most else []
+    for j, w in enumerate(text, 1):
+        same = places.get(w, 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (full & ~(zero | up)), up & zero
+        if rise & top:
+            cost += 1
+        elif fall & top:
+            cost -= 1
+        rise, fall = rise << 1 & full, fall << 1 & full
+        up, down = fall | (full & ~(zero | rise)), rise & zero
+        if cost <= most:
+            out.append(j)
     return out
 
 
@@ -129,8 +128,7 @@ class Items:
                 gate = np.zeros(1 << GATE_BITS, bool)
                 gate[(key >> np.uint64(64 - GATE_BITS)).astype(np.int64)] = True
                 self.grams[q] = key, gate, np.array([i for _, i, _ in found]), np.array([j for _, _, j in found])
-        whole = [(w, np.zeros(1, np.int64), len(w), np.array([len(w)])) for w in self.words]
-        self.signatures = [[int(walks(*w, r)[0]) for r in range(REPEATS)] for w in whole]
+        self.bits = [bits(w.tolist()) for w in self.words]
 
     def hits(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, distance) of the best match of each row and item."""
@@ -168,12 +166,17 @@ class Items:
             starts, first = np.unique(starts[inside], return_index=True)
             doc = doc[inside][first]
             stop = words.bounds[doc + 1]
+            if not len(starts):
+                continue
+            # Starts whose windows overlap share a scan, which tells where matches end.
+            cuts = np.flatnonzero((np.diff(starts) > size + e) | (np.diff(doc) != 0)) + 1
             alike = np.zeros(len(starts), bool)
-            for r in range(REPEATS):
-                rest = np.flatnonzero(~alike)
-                if not len(rest):
-                    break
-                alike[rest] = walks(hashes, starts[rest], size, stop[rest], r) == np.uint64(self.signatures[i][r])
+            for x, y in zip(np.append(0, cuts).tolist(), np.append(cuts, len(starts)).tolist(), strict=True):
+                begin = int(starts[x])
+                at = ends(self.bits[i], size, hashes[begin : min(int(stop[x]), int(starts[y - 1]) + size + e)].tolist(), e)
+                if at:
+                    at = np.array(at) + begin
+                    alike[x:y] = np.searchsorted(at, starts[x:y] + size - e) < np.searchsorted(at, starts[x:y] + size + e, "right")
             own = self.words[i].tolist()
             for s, d, z in zip(starts[alike].tolist(), doc[alike].tolist(), stop[alike].tolist(), strict=True):
                 have = best.get((d, i))
