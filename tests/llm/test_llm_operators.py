@@ -257,6 +257,22 @@ def test_disguises(text, span):
     assert [text[s:e] for s, _, e in pii.disguised(text, pii.plain(text))] == ([span] if span else [])
 
 
+@pytest.mark.parametrize("text", ["john@example[.]com", "192[.]168[.]10[.]20", "one point two point three point four", "john@example ( . ) com", "One\tPoint two, point three point four"])
+def test_disguises_without_a_word_dot(text):
+    assert [text[s:e] for s, _, e in pii.disguised(text, pii.plain(text))] == [text]
+
+
+def test_signs_cover_the_rewrites():
+    rng, n = random.Random(9), 0
+    parts = ["one", "Two", "three", "OH", "plus", "point", "dot", "DOT", "at", "com", "x", "a1", "[", "]", "(", ")", "{", "}", "<", ">", ".", ",", "-", " ", " ", " ", "\t", "\n", "\u212a", "\u0130", "\u200b", "é"]
+    for _ in range(60000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) + rng.choice(["", "[.]", "one point two point three", "one two three four"])
+        if pii._REWRITES.search(t.translate(pii._FOLD)):
+            n += 1
+            assert pii._signs(t), t
+    assert n > 10000
+
+
 def test_passages(docs, spark):
     rng = np.random.default_rng(0)
     h, bounds, want = rng.integers(1, 50, 400).astype(np.uint64), np.array([0, 130, 130, 200, 400]), set()

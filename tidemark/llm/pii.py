@@ -105,13 +105,15 @@ _REWRITES = re.compile(
 )
 #: Each starts with a set of characters, which keeps the search fast. Without any of these signs no rewrite applies.
 _AT_SIGN = re.compile(r"[\[({<][ \t]{0,2}at[ \t]{0,2}[\])}>]")
-_DIGIT_SIGN = re.compile(rf"[^a-z0-9]{_D}{_GAP}{_D}{_GAP}")
+_DOT_SIGN = re.compile(r"[\[({<][ \t]{0,2}\.[ \t]{0,2}[\])}>]")
+_DIGIT_SIGN = re.compile(rf"[^a-z0-9]{_D}{_GAP}(?:{_D}|point){_GAP}")
 _NONE_SIGN = re.compile(r"[​‌‍⁠﻿­]")
 
 
 def _signs(text: str) -> bool:
-    low = " " + text.lower()
-    if "dot" in low or _AT_SIGN.search(low) or _DIGIT_SIGN.search(low):
+    # A-Z only, as in the rewrites.
+    low = " " + (text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    if "dot" in low or _AT_SIGN.search(low) or _DOT_SIGN.search(low) or _DIGIT_SIGN.search(low):
         return True
     return not text.isascii() and bool(_FOLDED.search(text) or _NONE_SIGN.search(text))
 
