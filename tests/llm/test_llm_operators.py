@@ -459,3 +459,49 @@ def test_edit_distance():
         want = full(a, b)
         for most in range(9):
             assert decontaminate.distance(a, b, most)[0] == (want if want <= most else most + 1)
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s, s.translate({97: 98, 98: 97})
+
+
+def test_pretokens_whose_sums_of_powers_meet():
+    """Such pairs have one sum for every odd base modulo 2**64."""
+    texts = [t for n in range(4, 14) for t in thue_morse(2**n)]
+    enc, tok = tik(), Tokenizer.from_file(registry.TOKENIZER)
+    ids, at = bpe.codec(registry.RANKS)[0].batch(*bpe.code_points(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [enc.encode_ordinary(t) for t in texts]
+    ids, at = token_files.token_ids(pa.array(texts), registry.TOKENIZER)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_memory_whose_hashes_all_meet(monkeypatch):
+    monkeypatch.setattr(bpe, "segment_hash", lambda cp, lens: np.full(len(lens), 7, np.uint64))
+    enc, memory = tik(), bpe.Memory(bpe.codec(registry.RANKS)[0].encode, limit=3000)
+    for texts in (["one two one three", "four"], ["two two", "three", "ones"], ["x" * 900, "one"], ["one y"]):
+        ids, at = memory.batch(*bpe.code_points(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_memory_is_bounded_in_bytes():
+    memory, rng = bpe.Memory(bpe.codec(registry.RANKS)[0].encode, limit=200_000), random.Random(4)
+    for _ in range(20):
+        texts = ["".join(rng.choice("abcdef") for _ in range(5000)) for _ in range(10)]
+        memory.batch(*bpe.code_points(pa.array(texts)))
+        assert memory.bytes() < 200_000 + 10 * (5000 * 8 + memory.ENTRY)
+
+
+def test_long_runs_of_zeros():
+    zeros = "0" * 5000
+    assert pii.plain(f"1.2.3.{zeros}1") == [(0, 1, 5007)]
+    assert pii.plain(f"1.2.{zeros}.{zeros}256 +{zeros}") == []
+
+
+def test_smallest_id_and_null_are_apart(spark):
+    low = -(2**63)
+    df = spark.createDataFrame([(low, "a"), (None, "b"), (0, None)], "doc_id long, text string")
+    got = token_files.round_trip(df, registry.TOKENIZER).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, low, 0]

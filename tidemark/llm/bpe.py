@@ -1,7 +1,8 @@
 """Byte-level BPE over whole batches of texts.
 
-Texts are parted into pre-tokens with array operations, equal pre-tokens are found by hash,
-and only those a worker has not met are encoded; a worker's memory of them is bounded.
+Texts are parted into pre-tokens with array operations, equal pre-tokens are found by hash
+and compared code point by code point, and only those a worker has not met are encoded; a
+worker's memory of them is bounded in bytes.
 
 ``RankQueue`` encodes: all new pre-tokens of a batch lie in one linked list of byte
 positions. A bucket for each merge rank holds the positions whose pair has that rank, a
@@ -11,7 +12,9 @@ lowest rank first, leftmost first, as they would alone, so one queue serves them
 pre-token of any length costs a logarithm-free step for each merge.
 
 Defined cases: a null text counts as empty: no tokens, both hashes those of no bytes. Rows
-are encoded one by one, so repeated rows and null ids get a row each.
+are encoded one by one, so repeated rows and null ids get a row each. An empty table gives
+an empty table. Ties of rank within a pre-token go to the leftmost pair. A very long text is a
+batch of its own, whole. Columns other than key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .textbatch import BASES, buffers, chunks, mixed, segment_hash
+from .textbatch import buffers, chunks, mixed, segment_hash
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Unicode's White_Space, which \s means in the pattern.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK_BYTES = 3 << 20
-MEMORY_ENTRIES = 600_000
+MEMORY_BYTES = 64 << 20
 _classes: list[np.ndarray] = []
 
 
@@ -253,51 +257,90 @@ class RankQueue:
         return later if later.any() else None
 
 
+class Grown:
+    """An array that grows by doubling, so that adding to it copies each value a few times at most."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the values begin."""
+        first, self.size = self.size, self.size + len(values)
+        if self.size > len(self.held):
+            held = np.zeros(max(self.size, 2 * len(self.held)), self.held.dtype)
+            held[:first] = self.held[:first]
+            self.held = held
+        self.held[first : self.size] = values
+        return first
+
+
+def _spread(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each of the segments."""
+    return np.repeat(first - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
 class Memory:
-    """Ids of the pre-tokens met so far, by hash; a second hash tells if two ever shared the first."""
+    """Ids of the pre-tokens met so far, by hash; every hit is compared with the code points it stands for.
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    Beyond ``limit`` bytes the memory is emptied; what one batch adds to it is bounded by the batch.
+    """
+
+    ENTRY = 200  # bytes of an entry in the dictionary and the arrays, without its code points and ids
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = MEMORY_BYTES):
+        self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.ids, self.start, self.count, self.check = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64, np.uint64))
+        self.ids, self.cp = Grown(np.uint32), Grown(np.uint32)
+        self.start, self.count, self.cp_start, self.cp_count = (Grown(np.int64) for _ in range(4))
+
+    def bytes(self) -> int:
+        return 4 * (self.ids.size + self.cp.size) + self.ENTRY * self.count.size
+
+    def _same(self, cp: np.ndarray, starts: np.ndarray, lens: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each of the pre-tokens is the one that its slot holds."""
+        same = self.cp_count.held[slot] == lens
+        these = np.flatnonzero(same)
+        lens = lens[these]
+        unlike = cp[_spread(starts[these], lens)] != self.cp.held[_spread(self.cp_start.held[slot[these]], lens)]
+        same[these[np.repeat(np.arange(len(these)), lens)[unlike]]] = False
+        return same
+
+    def _put(self, cp: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Encodes pre-tokens; their slots."""
+        points = cp[_spread(starts, lens)]
+        ids, count = self.encode(points, lens)
+        self.start.add(self.ids.add(ids.astype(np.uint32)) + np.cumsum(count) - count)
+        self.cp_start.add(self.cp.add(points) + np.cumsum(lens) - lens)
+        self.cp_count.add(lens)
+        return self.count.add(count) + np.arange(len(lens))
 
     def batch(self, cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text d has ids[bounds[d]:bounds[d + 1]]."""
         starts = pretokens(cp, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        ends = np.append(starts[1:], len(cp))
-        values = mixed(cp.astype(np.uint64))
-        key, check = (segment_hash(values, starts, ends, base) for base in BASES)
-        del values
-        group, unique = pd.factorize(key)
+        if self.bytes() > self.limit:
+            self.clear()
+        lens = np.diff(np.append(starts, len(cp)))
+        group, unique = pd.factorize(segment_hash(cp, lens))
         lead = np.empty(len(unique), np.int64)
         lead[group[::-1]] = np.arange(len(group))[::-1]
-        if len(self.slot) + len(unique) > MEMORY_ENTRIES:
-            self.clear()
         slot = np.array([self.slot.get(k, -1) for k in unique.tolist()], np.int64)
+        held = np.flatnonzero(slot >= 0)
+        slot[held[~self._same(cp, starts[lead[held]], lens[lead[held]], slot[held])]] = -1
         new = np.flatnonzero(slot < 0)
         if len(new):
-            a, b = starts[lead[new]], ends[lead[new]]
-            lens = b - a
-            where = np.repeat(a - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-            ids, count = self.encode(cp[where], lens)
-            slot[new] = np.arange(len(new)) + len(self.count)
+            slot[new] = self._put(cp, starts[lead[new]], lens[lead[new]])
             self.slot.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-            self.count = np.concatenate([self.count, count])
-            self.check = np.concatenate([self.check, check[lead[new]]])
         mine = slot[group]
-        if not np.array_equal(self.check[mine], check):
-            raise RuntimeError("two pre-tokens share a 64-bit hash")
-        count = self.count[mine]
-        total = np.concatenate([[0], np.cumsum(count)])
-        where = np.repeat(self.start[mine] - total[:-1], count) + np.arange(total[-1])
-        return self.ids[where], total[np.searchsorted(starts, at)]
+        odd = np.flatnonzero(~self._same(cp, starts, lens, mine))
+        if len(odd):  # another pre-token has the same hash
+            mine[odd] = self._put(cp, starts[odd], lens[odd])
+        count = self.count.held[mine]
+        return self.ids.held[_spread(self.start.held[mine], count)], np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, at)]
 
 
 def utf8_of(cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,11 +381,11 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """(key, ids array<int>) for each row of docs."""
 
     def run(batches):
-        for batch, ids, bounds in encoded(batches, path, text):
+        for batch, ids, bounds in encoded(batches, path, "text"):
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), lists], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "ids"])
 
-    out = docs.select(key, text)
+    out = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     return out.mapInArrow(run, f"key {out.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
@@ -355,7 +398,7 @@ def decode_ids(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids
             out = [decode(np.asarray(x.as_py() or [], np.int64), *decoder)[0].tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "bytes"])
 
-    out = frame.select(key, ids)
+    out = frame.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids"))
     return out.mapInArrow(run, f"key {out.schema[0].dataType.simpleString()}, bytes binary").withColumnRenamed("key", key)
 
 

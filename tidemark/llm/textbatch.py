@@ -14,8 +14,8 @@ _IS_WS[[32, 9, 10, 11, 12, 13]] = True
 #: ASCII but digits and letters.
 PUNCTUATION = np.arange(256) < 128
 PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
-_POWERS: dict[int, np.ndarray] = {}
-BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
+_PLACES = [np.zeros(0, np.uint64)]
+SEED = 0x9E3779B97F4A7C15
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,17 +47,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
             first = last
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,14 +54,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """64-bit hash of each segment [start, end) of the uint64 values; segments ascend and are not empty."""
-    if not len(starts):
+def places(n: int) -> np.ndarray:
+    """A number for each of the first n places of a segment; kept up to 2**16 of them."""
+    if n <= len(_PLACES[0]):
+        return _PLACES[0][:n]
+    size = 1 << max(10, (n - 1).bit_length())
+    out = mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(SEED))
+    if size <= 1 << 16:
+        _PLACES[0] = out
+    return out[:n]
+
+
+def segment_hash(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """64-bit hash of segments of ``lens`` values, none empty, that lie one after another.
+
+    Value and place are mixed together before the sum, so no pattern of values makes sums
+    meet, as it does with powers of a base modulo 2**64. Chance may still: compare what meets.
+    """
+    if not len(lens):
         return np.zeros(0, np.uint64)
-    lens = ends - starts
-    within = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    where = np.repeat(starts, lens) + within
-    sums = np.add.reduceat(values[where] * powers(base, int(lens.max()))[within], np.cumsum(lens) - lens)
+    first = np.cumsum(lens) - lens
+    within = np.arange(len(values)) - np.repeat(first, lens)
+    sums = np.add.reduceat(mixed(values.astype(np.uint64) ^ places(int(lens.max()))[within]), first)
     return mixed(sums + lens.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -102,7 +105,7 @@ class Words:
         """The texts that words are of."""
         return np.searchsorted(self.bounds, words, "right") - 1
 
-    def hashes(self, seed: int = BASES[0]) -> np.ndarray:
+    def hashes(self, seed: int = SEED) -> np.ndarray:
         """A 64-bit hash of each word, read eight bytes at a time."""
         padded = np.zeros(len(self.raw) + 8, np.uint8)
         padded[: len(self.raw)] = self.raw

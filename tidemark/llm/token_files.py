@@ -3,8 +3,8 @@
 Documents are put in ascending order by a range partitioning, one shard a partition; each
 shard is a row of segments, and a segment is a file image of its own::
 
-    "PFR1", documents u32, ids u64, blocks u32
-    document keys i64[], ids of each document u32[], block starts u64[]
+    "PFR2", documents u32, ids u64, blocks u32
+    document keys i64[], which keys are null u8[], ids of each document u32[], block starts u64[]
     block: minimum u32, width u8, ids u16, exceptions u16, packed bits, positions u16[], high parts u32[]
 
 A block holds up to 1024 ids. Its minimum is subtracted and the rest is packed at the width
@@ -13,8 +13,10 @@ part in the exception list. Block starts allow reading from any id without the b
 Segments are rows of a Parquet table, as Spark's committer then makes a lost task harmless
 and the files lie in any store.
 
-Defined cases: a null text is an empty one (its end id alone); null keys come first; rows
-with one key are ordered by text; an empty table writes no segment and reads back empty.
+Defined cases: a null text is an empty one (its end id alone); null keys come first, before
+the smallest id; rows with one key are ordered by text, so equal rows are alike in any order;
+an empty table writes no segment and reads back empty; a very long text is a segment of its
+own; other columns are not read. Keys are whole numbers (others are an error of the cast).
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from .textbatch import buffers, chunks
 BLOCK = 1024
 PERCENTILE = 90
 END_ID = 2
-NULL_KEY = -(2**63)
 _HEAD = struct.Struct("<4sIQI")
 _BLOCK = struct.Struct("<IBHH")
 
@@ -44,8 +45,8 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
-def pack(ids: np.ndarray, keys: np.ndarray, lens: np.ndarray) -> bytes:
-    """The file image of a segment."""
+def pack(ids: np.ndarray, keys: np.ndarray, lens: np.ndarray, null: np.ndarray | None = None) -> bytes:
+    """The file image of a segment; ``null`` tells the documents without a key."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     low = np.zeros((blocks, BLOCK), np.int64)
@@ -77,8 +78,9 @@ def pack(ids: np.ndarray, keys: np.ndarray, lens: np.ndarray) -> bytes:
         starts.append(where)
         where += len(data)
         body.append(data)
-    head = _HEAD.pack(b"PFR1", len(keys), n, blocks)
-    return head + keys.astype("<i8").tobytes() + lens.astype("<u4").tobytes() + np.array(starts, "<u8").tobytes() + b"".join(body)
+    head = _HEAD.pack(b"PFR2", len(keys), n, blocks)
+    null = np.zeros(len(keys), bool) if null is None else null
+    return head + keys.astype("<i8").tobytes() + null.astype("u1").tobytes() + lens.astype("<u4").tobytes() + np.array(starts, "<u8").tobytes() + b"".join(body)
 
 
 def _block(data: memoryview, at: int) -> np.ndarray:
@@ -95,22 +97,23 @@ def _block(data: memoryview, at: int) -> np.ndarray:
     return out[:size].astype(np.uint32)
 
 
-def unpack(image: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids first to last, keys, lens) of a segment; only the blocks that hold the ids are read."""
+def unpack(image: bytes, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids first to last, keys, lens, null keys) of a segment; only the blocks that hold the ids are read."""
     magic, docs, n, blocks = _HEAD.unpack_from(image, 0)
-    if magic != b"PFR1":
+    if magic != b"PFR2":
         raise ValueError("not a token segment")
     at = _HEAD.size
     keys = np.frombuffer(image, "<i8", docs, at)
-    lens = np.frombuffer(image, "<u4", docs, at + 8 * docs)
-    starts = np.frombuffer(image, "<u8", blocks, at + 12 * docs)
-    body = at + 12 * docs + 8 * blocks
+    null = np.frombuffer(image, "u1", docs, at + 8 * docs).astype(bool)
+    lens = np.frombuffer(image, "<u4", docs, at + 9 * docs)
+    starts = np.frombuffer(image, "<u8", blocks, at + 13 * docs)
+    body = at + 13 * docs + 8 * blocks
     last = n if last is None else min(last, n)
     if first >= last:
-        return np.zeros(0, np.uint32), keys, lens
+        return np.zeros(0, np.uint32), keys, lens, null
     view, a = memoryview(image), first // BLOCK
     ids = np.concatenate([_block(view, body + int(starts[k])) for k in range(a, -(-last // BLOCK))])
-    return ids[first - a * BLOCK : last - a * BLOCK], keys, lens
+    return ids[first - a * BLOCK : last - a * BLOCK], keys, lens, null
 
 
 _workers: dict = {}
@@ -162,11 +165,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
             ids, bounds = token_ids(batch.column(1), tokenizer)
             out = np.full(len(ids) + batch.num_rows, end_id, np.uint32)
             out[np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), np.diff(bounds))] = ids
-            keys = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
-            image = pack(out, keys, np.diff(bounds) + 1)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            image = pack(out, keys, np.diff(bounds) + 1, null)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, k, len(out), image)], ["shard", "segment", "n_ids", "image"])
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
+    ordered = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
     ordered.mapInArrow(run, "shard long, segment long, n_ids long, image binary").write.parquet(path)
 
 
@@ -176,13 +180,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for shard, segment, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, keys, lens = unpack(image)
+                ids, keys, lens, null = unpack(image)
                 at = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(at, at[1:], strict=False)]
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, shard)), pa.array(np.full(n, segment)), pa.array(keys, mask=keys == NULL_KEY), pa.array(at[:-1]), pa.array(lens.astype(np.int64)), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(n, shard)), pa.array(np.full(n, segment)), pa.array(keys, mask=null), pa.array(at[:-1]), pa.array(lens.astype(np.int64)), pa.array(crc, pa.int64())],
                     ["shard", "segment", "key", "within", "n_tokens", "ids_crc32"],
                 )
 
