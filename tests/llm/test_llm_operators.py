@@ -505,3 +505,69 @@ def test_smallest_id_and_null_are_apart(spark):
     df = spark.createDataFrame([(low, "a"), (None, "b"), (0, None)], "doc_id long, text string")
     got = token_files.round_trip(df, registry.TOKENIZER).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, low, 0]
+
+
+def near_in_places(x, y, similarity=passages.SIMILARITY):
+    """Whether two texts hold stretches of MIN_SHINGLES or more with this share of the shingles equal at the same places, by trying all."""
+    n, least = passages.SHINGLE, passages.MIN_SHINGLES
+    a, b = ([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in (x, y))
+    at = collections.defaultdict(list)
+    for j, s in enumerate(b):
+        at[s].append(j)
+    for d in {j - i for i, s in enumerate(a) for j in at[s]}:
+        same = np.array([a[i] == b[i + d] for i in range(max(0, -d), min(len(a), len(b) - d))])
+        sums = np.concatenate([[0], np.cumsum(same - similarity)])
+        if any((sums[i + least :] >= sums[i] - 1e-9).any() for i in range(len(same) - least + 1)):
+            return True
+    return False
+
+
+def edited(rng, words, share, kinds):
+    out = []
+    for w in words:
+        kind = rng.choice(kinds) if rng.random() < share else "keep"
+        out += {"keep": [w], "swap": [f"e{rng.randrange(10**6)}"], "cut": [], "add": [w, f"e{rng.randrange(10**6)}"]}[kind]
+    return out
+
+
+def test_recall_of_near_passages(spark):
+    rng, rows, truth = random.Random(5), [], {}
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for share in (0, 0.02, 0.05, 0.1):
+        for kinds in (["swap"], ["swap", "swap", "cut", "add"]):
+            for _ in range(25):
+                p = text(120)
+                x, y = text(60) + p + text(60), text(70) + edited(rng, p, share, kinds) + text(60)
+                truth[len(rows)] = near_in_places(x, y), near_in_places(x, y, 0.76)
+                rows += [(len(rows), " ".join(x)), (len(rows) + 1, " ".join(y))]
+    got = {r["doc_id"]: r["class_id"] for r in passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [k for k, t in truth.items() if t[0]]
+    assert len(near) > 120 and sum(got[k + 1] == k for k in near) >= 0.95 * len(near)
+    # A shingle or two of the eight bits may be equal by chance, no more.
+    assert not any(got[k + 1] == k for k, t in truth.items() if not t[1])
+
+
+def test_large_groups_of_windows(spark):
+    """Near copies beyond GROUP, a line that all texts hold, and copies."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, line, passage = text(150), text(30), text(60)
+    texts = [edited(rng, base, 0.01, ["swap"]) for _ in range(60)]
+    texts += [text(60) + line + text(60) for _ in range(60)]
+    texts += [text(40) + passage + text(40) for _ in range(60)]
+    texts += [texts[-1]] * 40
+    rows = [(k, "  ".join(t).upper() if k % 2 else " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in passages.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {got[k]["class_id"] for k in range(60)} == {0}
+    assert all(got[k]["n_links"] == 0 and got[k]["class_id"] == k for k in range(60, 120))
+    assert {got[k]["class_id"] for k in range(120, 220)} == {120}
+    assert all(got[k]["spans"] == "0:140" for k in range(180, 220)) and got[179]["spans"] == "0:140"
+    assert all(s <= 40 and e >= 100 for s, e in (map(int, got[k]["spans"].split(":")) for k in range(120, 179)))
+
+
+def test_overlay_of_windows():
+    rng, least = np.random.default_rng(2), passages.MIN_SHINGLES
+    l = rng.integers(0, 900, 300)
+    r, k = l + rng.integers(least - 1, 97, 300), rng.integers(0, passages.HASHES, 300)
+    want = [len({k[j] for j in range(300) if k[j] != k[i] and min(r[i], r[j]) - max(l[i], l[j]) + 1 >= least}) >= passages.AGREE - 1 for i in range(300)]
+    assert passages.overlaid(l, r, k).tolist() == want

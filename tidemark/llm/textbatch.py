@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,25 @@ def segment_hash(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return mixed(sums + lens.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """The arrays in one blob, packed."""
+    body = b"".join(a.tobytes() for a in arrays)
+    return np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes() + "".join(a.dtype.str.ljust(4) for a in arrays).encode() + zlib.compress(body, 1)
+
+
+def loose(blob: bytes) -> list[np.ndarray]:
+    """The arrays of squeeze."""
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    lens = np.frombuffer(blob, "<i8", n, 8).tolist()
+    kinds = blob[8 + 8 * n : 8 + 12 * n].decode()
+    body, at, out = zlib.decompress(blob[8 + 12 * n :]), 0, []
+    for k, m in enumerate(lens):
+        kind = np.dtype(kinds[4 * k : 4 * k + 4].strip())
+        out.append(np.frombuffer(body, kind, m, at))
+        at += m * kind.itemsize
+    return out
+
+
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
