@@ -388,77 +388,115 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 130)) and got[200] == 150
 
 
-def test_decontamination(spark, docs, sf_dir):
-    rng = random.Random(0)
-    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()] + [(900, "one two"), (901, None), (902, "")]
-    block = decontaminate.Items(items)
-    vocab = [f"w{i}" for i in range(500)]
-    for share in (0, 0.1, 0.2):
-        hit = 0
-        for k, (_, text) in enumerate(items[:40]):
-            w = text.split()
-            for _ in range(int(share * len(w) + 1e-9)):
-                at, kind = rng.randrange(len(w)), rng.random()
-                w[at : at + (kind < 0.75)] = [rng.choice(vocab)] if kind < 0.5 or kind >= 0.75 else []
-            doc = " ".join(rng.choices(vocab, k=60) + w + rng.choices(vocab, k=60))
-            hit += any(x[1] == k for x in block.hits(pa.array([doc])))
-        assert hit >= 38
-    assert block.hits(pa.array([None, "", "nothing here", "One  TWO\nthree"])) == [(3, 40, 0, 2, 0)]
-    benchmark = spark.createDataFrame([(5, LINE), (6, None)], "item_id long, text string")
-    got = {r["doc_id"] for r in decontaminate.report(docs, benchmark).collect()}
-    held = {k for k, t in pairs() if ascii_lower(LINE) in " ".join(words_of(ascii_lower(t)))}
-    assert got == held
-    out = decontaminate.decontaminate(docs, benchmark)
-    assert out.columns == docs.columns and out.count() == len(pairs()) - sum(k in held for k, _ in pairs())
-
-
-@pytest.mark.parametrize("size", [20, 50, 100])
-def test_edits_clustered_at_the_front(size):
-    rng = random.Random(size)
-    vocab = [f"w{i}" for i in range(5000)]
-    items = [(k, " ".join(rng.choices(vocab, k=size))) for k in range(30)]
-    block, found = decontaminate.Items(items), 0
-    for k, text in items:
-        w = text.split()
-        for at in rng.sample(range(size // 2), size // 5):
-            w[at] = "edit"
-        doc = " ".join(rng.choices(vocab, k=60) + w + rng.choices(vocab, k=60))
-        found += any(x[1] == k for x in block.hits(pa.array([doc])))
-    assert found == 30
-
-
-def test_ends_of_matches():
-    rng = random.Random(8)
-    for _ in range(500):
-        item, text, most = [rng.randrange(4) for _ in range(rng.randint(1, 9))], [rng.randrange(4) for _ in range(rng.randint(0, 14))], rng.randint(0, 5)
-        row = [0] * (len(text) + 1)
-        for x in item:
-            new = [row[0] + 1]
-            for j, y in enumerate(text, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        assert decontaminate.ends(decontaminate.bits(item), len(item), text, most) == [j for j, cost in enumerate(row) if cost <= most]
+def brute_place(item, text, most):
+    """(distance, start, words) of the text's best stretch for the item, by trying all."""
+    best = None
+    for start in range(len(text) + 1):
+        row = list(range(len(item) + 1))  # item against text[start:start]
+        for n in range(len(text) - start + 1):
+            if n:
+                new = [n]
+                for i, x in enumerate(item, 1):
+                    new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (x != text[start + n - 1])))
+                row = new
+            if row[-1] <= most and (best is None or (row[-1], start, n) < best):
+                best = row[-1], start, n
+            if n > len(item) + most:
+                break
+    return best
 
 
 def test_edit_distance():
-    def full(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = _next(row, i, x, b)
-        return min(row)
-
-    def _next(row, i, x, b):
+    rng = random.Random(4)
+    for _ in range(400):
+        item, text = ([rng.randrange(4) for _ in range(n)] for n in (rng.randint(1, 9), rng.randint(0, 14)))
+        for most in range(5):
+            assert decontaminate.best(item, text, most) == brute_place(item, text, most), (item, text, most)
+        ends = [min((b[0] for s in range(k + 1) if (b := brute_distance(item, text[s:k]))), default=len(item)) for k in range(len(text) + 1)]
+        assert decontaminate.costs(decontaminate.bits(item), len(item), text) == ends
+        assert decontaminate.costs_from(decontaminate.bits(item), len(item), text) == [brute_distance(item, text[:k])[0] for k in range(len(text) + 1)]
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        return new
+        row = new
+    return (row[-1],)
 
-    rng = random.Random(4)
-    for _ in range(500):
-        a, b = ([rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(2))
-        want = full(a, b)
-        for most in range(9):
-            assert decontaminate.distance(a, b, most)[0] == (want if want <= most else most + 1)
+
+def benchmark_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t or ""))
+
+
+def planted_items(spark, sf_dir, n):
+    """Texts with benchmark items in them, a share of each one's words edited, anywhere or in one half; and the items."""
+    rng, items, texts = random.Random(0), [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").limit(n).collect()], []
+    vocab = [f"w{i}" for i in range(800)]
+    for share in (0, 0.1, 0.2):
+        for where in ("any", "front", "back"):
+            for k, t in items:
+                w = benchmark_words(t)
+                places = range(len(w)) if where == "any" else range(len(w) // 2) if where == "front" else range(len(w) // 2, len(w))
+                for at in sorted(rng.sample(places, decontaminate.allowed(len(w), 1 - share)), reverse=True):
+                    w[at : at + 1] = rng.choice([[rng.choice(vocab)], [rng.choice(vocab)], [], [w[at], rng.choice(vocab)]])
+                texts.append((share, where, k, " ".join(rng.choices(vocab, k=30) + w + rng.choices(vocab, k=30))))
+    return items, texts
+
+
+def test_recall_of_decontamination(spark, sf_dir):
+    """Found against held, by the share of words edited; and what is found is the best place."""
+    items, texts = planted_items(spark, sf_dir, 60)
+    docs = spark.createDataFrame([(i, x[3]) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame([*items, (901, None), (902, "")], "item_id long, text string")
+    got = {(r["key"], r["item_id"]): (r["edits"], r["start_word"], r["n_words"]) for r in decontaminate.matches(docs, benchmark).collect()}
+    own, held, found = dict(items), collections.Counter(), collections.Counter()
+    for i, (share, where, k, t) in enumerate(texts):
+        w = benchmark_words(own[k])
+        place = brute_place(w, benchmark_words(t), decontaminate.allowed(len(w))) if i % 5 == 0 else got.get((i, k)) or (0, 0, 0)
+        if place:
+            held[share, where] += 1
+            found[share, where] += (i, k) in got
+        if i % 5 == 0 and (i, k) in got:
+            assert got[i, k] == place
+    assert all(held[s] >= 36 and found[s] >= 0.95 * held[s] for s in held), (held, found)
+    w = {k: benchmark_words(t) for k, t in items}
+    others = [(i, k) for i, k in got if k != texts[i][2]]
+    assert all(brute_place(w[k], benchmark_words(texts[i][3]), decontaminate.allowed(len(w[k]))) for i, k in others)
+
+
+def test_gate_only_saves_work(spark, sf_dir):
+    items, texts = planted_items(spark, sf_dir, 12)
+    docs = spark.createDataFrame([(i, x[3]) for i, x in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([*items, (7, "one two"), (8, "three")], "item_id long, text string")
+    assert sorted_rows(decontaminate.matches(docs, benchmark)) == sorted_rows(decontaminate.matches(docs, benchmark, gated=False))
+
+
+def test_decontamination(spark, docs):
+    benchmark = spark.createDataFrame([(5, LINE), (6, None), (None, LINE.upper()), (7, "漢字 mit"), (7, "nobody has this one"), (8, "the the the the the the the the")], "item_id long, text string")
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.report(docs, benchmark).collect())
+    held, want = collections.Counter(), collections.Counter()
+    for k, t in pairs():
+        w = benchmark_words(t)
+        for item in (5, None, 7, 8):
+            own = benchmark_words({5: LINE, None: LINE, 7: "漢字 mit", 8: "the " * 8}[item])
+            if brute_place(own, w, decontaminate.allowed(len(own))) if len(w) < 200 else " ".join(own) in " ".join(w):
+                want[k, item] += 1
+                held[k] = 1
+    assert got == want and got[5, 5] == 1
+    out = decontaminate.decontaminate(docs, benchmark)
+    assert out.columns == docs.columns
+    alike = lambda k, t: any((k2, t2) == (k, t) and held[k2] for k2, t2 in pairs())
+    assert out.count() == sum(not alike(k, t) for k, t in pairs())
+
+
+def test_items_and_texts_that_repeat_a_word(spark):
+    """No product of the places in the one and the other."""
+    docs = spark.createDataFrame([(1, "x " * 8000), (2, "y " * 8000)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "x " * 800)], "item_id long, text string")
+    assert [(r["doc_id"], r["edits"], r["start_word"], r["n_words"]) for r in decontaminate.report(docs, benchmark).collect()] == [(1, 0, 0, 800)]
 
 
 def thue_morse(n):

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import xxhash
-from test_llm_operators import ascii_lower, brute_quality, tik, words_of
+from test_llm_operators import ascii_lower, benchmark_words, brute_place, brute_quality, tik, words_of
 
 import corpus_pipeline
 from tidemark.llm import decontaminate
@@ -46,10 +46,9 @@ def brute(docs, items):
         lead = {k: min(lead[j] for j in texts if (marks[k] ^ marks[j]).bit_count() <= 2) for k in texts}
     texts = {k: t for k, t in texts.items() if lead[k] == k}
     for _, item in items:
-        own = words_of(ascii_lower(item or ""))
+        own = benchmark_words(item)
         for k in [k for k in texts if own]:
-            w, e = words_of(ascii_lower(texts[k])), decontaminate.allowed(len(own))
-            if any(decontaminate.distance(own, w[i : i + len(own) + e], e)[0] <= e for i in range(len(w))):
+            if brute_place(own, benchmark_words(texts[k]), decontaminate.allowed(len(own))):
                 del texts[k]
     enc, out = tik(), []
     for k, t in texts.items():
