@@ -104,6 +104,57 @@ def read_ranks(path: str) -> list[bytes]:
     return out
 
 
+class Hashed:
+    """Whole numbers to values of 0 or more, by open addressing: a key's slot is probed in steps of one."""
+
+    def __init__(self, expected: int = 1024):
+        self.count = 0
+        self._empty(1 << max(10, (2 * expected).bit_length()))
+
+    def _empty(self, size: int) -> None:
+        self.keys, self.values, self.mask = np.zeros(size, np.int64), np.full(size, -1, np.int64), size - 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        slot = self._home(keys)
+        found = self.values[slot]
+        other = self.keys[slot] != keys
+        out = np.where(other, -1, found)
+        open_ = np.flatnonzero(other & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            at = slot[open_]
+            found, hit = self.values[at], self.keys[at] == keys[open_]
+            out[open_[hit]] = found[hit]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys without repeats; the value of one that is there already is replaced."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            have = self.values >= 0
+            keys, values, old = np.concatenate([self.keys[have], keys]), np.concatenate([self.values[have], values]), have.sum()
+            self._empty(1 << (2 * len(keys)).bit_length())
+            self.count = 0
+            if old:
+                self._insert(keys[:old], values[:old])
+                keys, values = keys[old:], values[old:]
+        self._insert(keys, values)
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = self._home(keys)
+        self.count += len(keys)
+        while len(keys):
+            free = self.values[slot] < 0
+            self.keys[slot[free]], self.values[slot[free]] = keys[free], values[free]  # of several, one stays
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & self.mask
+
+
 class RankQueue:
     """Encoder of pre-tokens by merge ranks."""
 
@@ -117,42 +168,12 @@ class RankQueue:
                 x, y = rank.get(t[:k]), rank.get(t[k:])
                 if x is not None and y is not None:
                     pairs[x << 32 | y] = r
-        # Open addressing: a slot's key and rank, probed in steps of one.
-        size = 1 << (2 * len(pairs)).bit_length()
-        self.mask = np.uint64(size - 1)
-        keys, ranks = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        todo = np.fromiter(pairs, np.int64, len(pairs))
-        value = np.fromiter(pairs.values(), np.int64, len(pairs))
-        slot = self._slot(todo)
-        self.probes = 0
-        while len(todo):
-            self.probes += 1
-            free = keys[slot] == -1
-            keys[slot[free]] = todo[free]  # of several, the last stays
-            won = keys[slot] == todo
-            ranks[slot[won]] = value[won]
-            todo, value, slot = todo[~won], value[~won], (slot[~won] + 1) & int(self.mask)
-        self.keys, self.ranks = keys, ranks
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys.astype(np.uint64)) & self.mask).astype(np.int64)
+        self.pairs = Hashed(len(pairs))
+        self.pairs.add(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
-        key = left << 32 | right
-        slot = self._slot(key)
-        found = self.keys[slot]
-        out = np.where(found == key, self.ranks[slot], -1)
-        open_ = np.flatnonzero((found != key) & (found != -1))
-        for _ in range(self.probes):
-            if not len(open_):
-                break
-            slot[open_] = (slot[open_] + 1) & int(self.mask)
-            found = self.keys[slot[open_]]
-            hit = found == key[open_]
-            out[open_[hit]] = self.ranks[slot[open_[hit]]]
-            open_ = open_[~hit & (found != -1)]
-        return out
+        return self.pairs.find(left << 32 | right)
 
     def encode(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each) for pre-tokens of ``lens`` bytes that lie one after another in ``raw``."""
@@ -285,27 +306,28 @@ class Memory:
     Beyond ``limit`` bytes the memory is emptied; what one batch adds to it is bounded by the batch.
     """
 
-    ENTRY = 200  # bytes of an entry in the dictionary and the arrays, without its code points and ids
+    ENTRY = 96  # bytes of an entry in the table and the arrays, without its code points and ids
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = MEMORY_BYTES):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot = Hashed()
         self.ids, self.cp = Grown(np.uint32), Grown(np.uint32)
         self.start, self.count, self.cp_start, self.cp_count = (Grown(np.int64) for _ in range(4))
 
     def bytes(self) -> int:
         return 4 * (self.ids.size + self.cp.size) + self.ENTRY * self.count.size
 
-    def _same(self, cp: np.ndarray, starts: np.ndarray, lens: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Whether each of the pre-tokens is the one that its slot holds."""
+    def _same(self, points: np.ndarray, lens: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each of the pre-tokens, which lie one after another, is the one that its slot holds."""
         same = self.cp_count.held[slot] == lens
-        these = np.flatnonzero(same)
-        lens = lens[these]
-        unlike = cp[_spread(starts[these], lens)] != self.cp.held[_spread(self.cp_start.held[slot[these]], lens)]
-        same[these[np.repeat(np.arange(len(these)), lens)[unlike]]] = False
+        if not same.all():
+            points, lens, slot = points[np.repeat(same, lens)], lens[same], slot[same]
+        unlike = np.flatnonzero(points != self.cp.held[_spread(self.cp_start.held[slot], lens)])
+        if len(unlike):
+            same[np.flatnonzero(same)[np.searchsorted(np.cumsum(lens), unlike, "right")]] = False
         return same
 
     def _put(self, cp: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -325,18 +347,19 @@ class Memory:
         if self.bytes() > self.limit:
             self.clear()
         lens = np.diff(np.append(starts, len(cp)))
-        group, unique = pd.factorize(segment_hash(cp, lens))
+        group, unique = pd.factorize(segment_hash(cp, lens).view(np.int64))
         lead = np.empty(len(unique), np.int64)
         lead[group[::-1]] = np.arange(len(group))[::-1]
-        slot = np.array([self.slot.get(k, -1) for k in unique.tolist()], np.int64)
+        slot = self.slot.find(unique)
         held = np.flatnonzero(slot >= 0)
-        slot[held[~self._same(cp, starts[lead[held]], lens[lead[held]], slot[held])]] = -1
+        a, n = starts[lead[held]], lens[lead[held]]
+        slot[held[~self._same(cp[_spread(a, n)], n, slot[held])]] = -1
         new = np.flatnonzero(slot < 0)
         if len(new):
             slot[new] = self._put(cp, starts[lead[new]], lens[lead[new]])
-            self.slot.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
+            self.slot.add(unique[new], slot[new])
         mine = slot[group]
-        odd = np.flatnonzero(~self._same(cp, starts, lens, mine))
+        odd = np.flatnonzero(~self._same(cp, lens, mine))
         if len(odd):  # another pre-token has the same hash
             mine[odd] = self._put(cp, starts[odd], lens[odd])
         count = self.count.held[mine]
