@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more go now, not when the driver's memory next fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here and sizes are known."""
     path = new_path(df.sparkSession, name)
