@@ -37,7 +37,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Unicode's White_Space, which \s means in the pattern.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK_BYTES = 3 << 20
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 128 << 20
 _classes: list[np.ndarray] = []
 
 
