@@ -70,15 +70,15 @@ def test_empty_table(spark, empty, name, tmp_path):
 
 def test_lines(docs):
     key = lambda x: (lambda k: k if len(k) >= 20 else None)(ascii_lower(x.strip(" \t\n\x0b\x0c\r")))
-    held = collections.defaultdict(list)
+    held = collections.defaultdict(set)
     for k, t in pairs():
         for x in {key(x) for x in t.split("\n")} - {None}:
-            held[x].append(k)
+            held[x].add(k)
     want = []
     for k, t in pairs():
         kept = []
         for x in t.split("\n"):
-            ids = held.get(key(x), [])
+            ids = held.get(key(x), set())
             if not (len(ids) >= 3 and (k is None or k < max(i for i in ids if i is not None))):
                 kept.append(x)
         want.append((k, len(t.split("\n")), len(t.split("\n")) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
@@ -88,14 +88,34 @@ def test_lines(docs):
     assert sorted(hashlib.sha256((r["text"]).encode()).hexdigest() for r in out.collect()) == sorted(w[3] for w in want)
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    rows = [(1, LINE), (1, LINE), (2, LINE), (3, "x"), (None, "y"), (None, "y")]
+    out = {(r["doc_id"], r["n_dropped"]) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(1, 0), (2, 0), (3, 0), (None, 0)}
+    out = sorted_rows(lines.report(spark.createDataFrame([*rows, (None, LINE)], "doc_id long, text string")), ["doc_id", "n_dropped"])
+    assert out == sorted([(1, 1), (1, 1), (2, 0), (3, 0), (None, 0), (None, 0), (None, 1)], key=repr)
+
+
 def test_runs_are_compacted(spark, tmp_path):
-    store = lines.RunStore(spark, f"file://{tmp_path}")
+    store = lines.RunStore(spark, f"file://{tmp_path}", 3)
     fresh = []
-    for b in range(5):
-        batch = spark.createDataFrame([(b, b"same"), (b, b"own%d" % b)], "key long, h binary")
-        fresh.append(store.add(batch).filter("fresh").count())
-    assert fresh == [2, 1, 1, 1, 1] and len(store.runs()) <= 3
-    assert {bytes(r["h"]): (r["n"], r["last"]) for r in store.totals().collect()}[b"same"] == (5, 4)
+    for b in range(9, 4, -1):
+        batch = spark.createDataFrame([(b, b"same"), (b, b"same"), (b, b"own%d" % b)], "key long, h binary")
+        fresh.append({bytes(r["h"]) for r in spark.table(store.add(batch)).filter("fresh").collect()})
+        assert len(store.runs()) <= 4
+    assert fresh == [{b"same", b"own9"}] + [{b"own%d" % b} for b in range(8, 4, -1)]
+    assert len(list(tmp_path.glob("*/part-*"))) <= 3 * len(store.runs())
+    assert {bytes(r["h"]): (r["n"], r["last"]) for r in store.close().collect()} == {b"same": (5, 9)} | {b"own%d" % b: (1, b) for b in range(5, 10)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_run_")]
+
+
+def test_runs_merge_without_a_shuffle(spark, tmp_path):
+    store = lines.RunStore(spark, f"file://{tmp_path}", 3)
+    names = [store.add(spark.createDataFrame([(b, b"%d" % (k % (b + 7))) for k in range(50)], "key long, h binary")) for b in (2, 1)]
+    with lines._sorted_buckets(spark):
+        a, b = (spark.table(n) for n in names)
+        plan = a.join(b.hint("merge"), "h", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
 
 
 def brute_quality(data):

@@ -56,8 +56,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def spread(df: DataFrame, each: int = 64 << 20) -> int:
-    """How many parts to deal df's data into: the session's shuffle partitions, or more if the optimizer's size of df is more than ``each`` bytes a part."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, each: int = 64 << 20, least: int | None = None) -> int:
+    """How many parts to deal df's data into: ``least``, by default the session's shuffle partitions, or more if the optimizer's size of df is more than ``each`` bytes a part."""
+    parts = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(parts, -(-size // each)) if size < 1 << 60 else parts  # beyond that, the size is not known
