@@ -232,20 +232,104 @@ def test_language_model(spark, docs, sf_dir):
     assert held["perplexity"] < held["base_perplexity"]
 
 
-def test_model_sums_to_one():
+def conditional(c, d, theta, others, parent):
+    """The exact law of the number of tables, by listing all partitions of c customers."""
+    weight = collections.Counter()
+
+    def walk(sizes, left, w):
+        if not left:
+            t = len(sizes)
+            weight[t] += w * np.prod([theta + d * (others + j) for j in range(t)]) * parent**t
+            return
+        for k in range(len(sizes)):
+            walk([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]], left - 1, w * (sizes[k] - d))
+        walk([*sizes, 1], left - 1, w)
+
+    walk([], c, 1.0)
+    total = sum(weight.values())
+    return np.array([weight[t] / total for t in range(1, c + 1)])
+
+
+@pytest.mark.parametrize("c, d, theta, others, parent", [(2, 0.3, 1.0, 0, 0.2), (5, 0.6, 1.0, 3, 0.4), (7, 0.8, 0.5, 10, 0.9), (6, 0.5, 1.0, 2, 0.01)])
+def test_seating_against_all_partitions(c, d, theta, others, parent):
+    rng, n = np.random.default_rng(0), 40000
+    want = conditional(c, d, theta, others, parent)
+    full = lambda x: np.full(n, x)
+    t = language_model.seat(full(c), full(1), full(others + 1), np.full(n, parent), d, theta, rng)
+    assert abs(np.bincount(t, minlength=c + 1)[1:] / n - want).max() < 0.012
+    # Moves of customers end in the same law, from one table as from all others.
+    tables = language_model.Tables.one_each(full(c))
+    for _ in range(4):
+        tables = tables.reseated(full(c), tables.t + others, np.full(n, parent), d, theta, rng, moves=12)
+    assert (np.add.reduceat(tables.sizes, tables.bounds[:-1]) == c).all() and (tables.sizes > 0).all()
+    assert abs(np.bincount(tables.t, minlength=c + 1)[1:] / n - want).max() < 0.015
+
+
+def test_customers_who_come_and_go():
+    rng = np.random.default_rng(1)
+    c = rng.integers(65, 4000, 300)
+    tables = language_model.Tables.one_each(c)
+    for goal in (c, c * 3, np.maximum(65, c // 5), c + 1):
+        tables = tables.reseated(goal, tables.t + 50, np.full(300, 0.3), 0.7, 1.0, rng)
+        assert (np.add.reduceat(tables.sizes, tables.bounds[:-1]) == goal).all() and (tables.sizes > 0).all()
+    assert tables.t.mean() > 10
+
+
+def test_model_knows_what_follows(spark):
+    """A pair that was seen often is likely."""
+    rng, vocab = random.Random(3), [f"w{i}" for i in range(12)]
+    rows = [(k, " ".join(rng.choices(vocab, range(12, 0, -1), k=40)) + " w0 w1" * 100) for k in range(200) if not language_model.held_out(k)]
+    asked = [f"{u} {w}" for u in ("w0", "w7", "other") for w in [*vocab, "unknown"]]
+    ids = [k for k in range(3000, 9000) if language_model.held_out(k)]
+    docs = spark.createDataFrame(rows + list(zip(ids, asked, strict=False)), "doc_id long, text string").repartition(3)
+    got = {r["key"]: 10 ** r["score"] for r in language_model.score(docs, buckets=3).collect()}
+    p = {t: got[k] for k, t in zip(ids, asked, strict=False)}
+    assert p["w0 w1"] > 20 * p["w0 w2"]
+
+
+def test_seats_give_probabilities():
     rng = np.random.default_rng(3)
-    tokens, context, seen = np.arange(1, 41, dtype="<u8"), rng.integers(0, 600, 200), rng.integers(0, 200, 200)
-    per = np.full(40, 5, "<u4")
-    state = language_model.State.merged([[tokens, per, context.astype("<u2"), seen.astype("<u4")]])
-    for _ in range(3):
-        model = language_model.Model(state.totals(), (0.5, 0.6, 0.7))
-        state.sweep(model, rng)
-    model = language_model.Model(state.totals(), (0.5, 0.6, 0.7))
-    assert (state.t <= state.c).all() and (state.t1 <= state.c1).all() and (state.t0 >= 1).all()
-    for u in (int(context[0]), 65000):
-        asked = np.append(state.tokens, np.uint64(999))  # every known token and the unknown one
-        log_p, _ = language_model._probabilities(state, [(state, model)], asked, np.ones(len(asked), int), np.full(len(asked), u))
-        assert abs(float((10**log_p).sum()) - 1) < 1e-9
+    w, u = np.repeat(np.arange(40), 5), rng.integers(0, 9, 200)
+    order = np.lexsort((u, w))
+    w, u = w[order], u[order]
+    head = np.ones(200, bool)
+    head[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
+    w, u = w[head], u[head]
+    c = np.where(rng.random(len(w)) < 0.3, rng.integers(65, 900, len(w)), rng.integers(1, 60, len(w)))
+    L = language_model
+    state = L.State(w, u, c, L.Seats.first(c), L.Seats.first(np.zeros(0, np.int64)))
+    state.root = L.Seats.first(state.at_root())
+    v = len(state.tokens)
+    for _ in range(4):
+        root = L.Root(int(state.at_root().sum()), int(state.root.t.sum()), v, (0.5, 0.7))
+        contexts, _, tables = state.contexts()
+        state.sweep(tables[np.searchsorted(contexts, state.u)], root, {}, rng)
+        state = L.State.read(state.blob())
+        assert (state.seats.t <= state.c).all() and (state.seats.t >= 1).all() and (state.root.t <= state.at_root()).all()
+        large = state.seats.tables
+        assert np.array_equal(state.c[state.seats.large], np.add.reduceat(large.sizes, large.bounds[:-1]))
+    root = L.Root(int(state.at_root().sum()), int(state.root.t.sum()), v, (0.5, 0.7))
+    p0 = np.append(root.p(*state.rooted({})), root.p(np.zeros(1), np.zeros(1)))
+    assert abs(p0.sum() - 1) < 1e-9
+    for x in (*np.unique(u), 77):
+        mine, sums = state.u == x, state.contexts()
+        customers, tables = (int(s[sums[0] == x].sum()) for s in sums[1:])
+        at = np.zeros((2, v + 1))
+        at[:, state.of[mine]] = state.c[mine], state.seats.t[mine]
+        assert abs(L.leaf(*at, customers, tables, p0, 0.7).sum() - 1) < 1e-9
+
+
+def test_hot_tokens_are_dealt_by_context(spark):
+    """With many buckets a token in every other place is hot; what texts score does not depend on the buckets but for chance."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(x for w in rng.choices([f"w{i}" for i in range(300)], k=60) for x in ("the", w))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    one, many = ({r["key"]: r for r in language_model.score(docs, buckets=b).collect()} for b in (1, 40))
+    assert all(one[k]["base_score"] == pytest.approx(many[k]["base_score"]) and one[k]["n_known"] == many[k]["n_known"] for k in one)
+    assert abs(sum(one[k]["score"] - many[k]["score"] for k in one)) < 0.01 * abs(sum(one[k]["score"] for k in one))
+    w = np.array([4, 4, 8, 9])
+    homes = language_model.home_of(w, np.arange(4), 4, np.array([4]))
+    assert homes[2] == 0 and homes[3] == 1
 
 
 PLAIN = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")]
