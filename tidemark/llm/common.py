@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files of plans that nothing refers to any more go now, not when the driver's memory next fills."""
+    """Shuffle files of plans that nothing refers to any more go now, not when the driver's memory next fills.
+
+    Spark's cleaner follows the driver's garbage collector: the first pass drops the plans,
+    the second the shuffles that they held.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
