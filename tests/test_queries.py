@@ -8,7 +8,7 @@ from compare import differences
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import dedupe, html, impact, lexicon
+from tidemark.operators import dedupe, html, impact, lexicon, workflow
 from tidemark.plans import registry
 from tidemark.sources.versions import Store, check_required
 
@@ -42,25 +42,63 @@ def test_greedy_dedupe_equals_the_scan(spark):
 
 
 def test_default_lexicon(spark):
-    text = F.col("t")
     rows = [("Firm beats and raises guidance",), ("a minor slight small launch",), ("fraud lawsuit",), ("",), ("quiet day",)]
-    df = spark.createDataFrame(rows, "t string").select(lexicon.graded(F.lit("full_text"), text, F.lit(""), lexicon.BULLISH | lexicon.BEARISH)[0].alias("g"))
-    assert [r["g"] for r in df.collect()] == ["very_bullish", "moderately_bearish", "very_bearish", "insufficient", "neutral"]
-    gated = spark.range(1).select(lexicon.graded(F.lit("title"), F.lit("beats"), F.lit(""), lexicon.BULLISH)[1].alias("r")).first()["r"]
-    assert gated == "evidence_scope=title"
+    df = spark.createDataFrame(rows, "body string").withColumn("evidence_scope", F.lit("full_text"))
+    assert [r["grade"] for r in lexicon.graded(df).collect()] == ["very_bullish", "moderately_bearish", "very_bearish", "insufficient", "neutral"]
+    gated = lexicon.graded(df.withColumns({"evidence_scope": F.lit("title"), "grade": F.lit("bullish"), "grade_method": F.lit("source_review")})).first()
+    assert (gated["grade"], gated["grade_reason"]) == ("insufficient", "evidence_scope=title")
+
+
+REVIEW = "row_ord long, task_id string, event_id string, url string, grade string, event_kind string, direction_sign int, impact_level string, evidence_confidence double, stock_relevance double, event_time timestamp, available_at timestamp, event_cluster string"
+
+
+def review(row_ord, task="", event="", url="", grade="bullish", sign=1, level="medium", conf=0.9, rel=1.0, time=dt.datetime(2024, 1, 3), known=dt.datetime(2024, 1, 3), cluster="c"):
+    return (row_ord, task, event, url, grade, "opinion", sign, level, conf, rel, time, known, cluster)
 
 
 def test_impact_of_a_cluster(spark):
-    at = dt.datetime(2024, 1, 3)
-    base = ("opinion", 1, "medium")
-    rows = [(0, "a", *base, 0.9, 1.0, at, at, "c"), (1, "b", *base, 0.4, 1.0, at - dt.timedelta(days=2), at, "c")]
-    df = spark.createDataFrame(rows, "row_ord long, task_id string, event_kind string, direction_sign int, impact_level string, evidence_confidence double, stock_relevance double, event_time timestamp, available_at timestamp, event_cluster string")
+    rows = [review(0, "a"), review(1, "b", conf=0.4, time=dt.datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, REVIEW)
     got = impact.synthesis(df, "2024-01-03 00:00:00").first()
     assert (got["event_count"], got["deduplicated_reprints"], got["net"], got["direction"]) == (1, 1, 0.9, "bullish")
     none = impact.synthesis(df.limit(0), "2024-01-03 00:00:00").first()
     assert (none["event_count"], none["direction"]) == (0, "no_verified_assessment")
 
 
+def test_impact_of_what_is_missing(spark):
+    """A retraction withdraws, what has no cluster is one of its own, missing shares count whole, keys fall back, what cannot be scored fails."""
+    day = lambda k: dt.datetime(2024, 1, k)
+    net = lambda *rows: impact.synthesis(spark.createDataFrame(rows, REVIEW), "2024-01-03 00:00:00").first()
+    gone = net(review(0, "a", known=day(1)), review(1, "a", grade="insufficient", level=None, sign=None, known=day(2)))
+    assert (gone["event_count"], gone["net"]) == (0, 0.0)
+    apart = net(review(0, "a", "x", cluster=""), review(1, "b", "y", cluster=None))
+    assert (apart["event_count"], apart["deduplicated_reprints"]) == (2, 0)
+    assert net(review(0, "a", conf=None, rel=None))["net"] == 2.0
+    by_event = net(review(0, None, "x", known=day(1)), review(1, "", "x", sign=-1, grade="bearish", known=day(2), cluster="d"))
+    assert (by_event["event_count"], by_event["net"]) == (1, -1.8)
+    assert net(review(0, url="u", known=day(2)), review(1, url="u", sign=-1, known=day(2)))["net"] == 1.8
+    for bad in (review(0, "a", conf=1.5), review(0, "a", sign=2), review(0, "a", time=day(4))):
+        with pytest.raises(Exception, match="cannot be scored"):
+            net(bad)
+
+
+def test_retraction(spark):
+    rows = [review(0, "a"), review(1, "a"), review(2, "b", known=dt.datetime(2024, 1, 1)), review(3, "b", grade="insufficient"), review(4, "c")]
+    reasons = spark.createDataFrame([("a", "w"), ("b", "w"), ("z", "w")], "task_id string, reason string")
+    df = spark.createDataFrame(rows, REVIEW)
+    got = workflow.retractions(df, reasons, "2024-01-04 00:00:00").collect()
+    assert [(r["task_id"], r["row_ord"], r["grade"], r["grade_reason"], r["impact_level"], r["available_at"]) for r in got] == [("a", 0, "insufficient", "w", None, dt.datetime(2024, 1, 4))]
+    assert workflow.retract(df, reasons, "2024-01-04 00:00:00").count() == 6
+
+
+def test_dedupe_of_a_long_chain(spark):
+    """Rows that share a key with the one before and the one after, more than the rounds settle."""
+    rows = [(i, -i, f"a{i // 2}", f"b{(i + 1) // 2}", "" if i % 7 else f"c{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(rows, "row_ord long, at long, x string, y string, z string")
+    got = dedupe.greedy_dedupe(df, ["x", "y", "z"], [(-F.col("at")).alias("_at")], rounds=3).collect()
+    assert {r["row_ord"]: r["duplicate_of"] for r in got} == _greedy(rows)
+
+
 def test_scalars(spark):
     cases = {
         "HTTPS://Ex.com/P?utm_source=x&b=1&a=~*%20z&REF=q#frag": "https://ex.com/P?b=1&a=~%2A+z",

@@ -35,20 +35,29 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.lower(origin), F.substring(head, F.length(origin) + 1, F.length(head)), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(F.lit("")))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def folded(text: Column) -> Column:
     """Trimmed, lower case, runs of white space as one space."""
     return F.lower(F.trim(F.regexp_replace(text, WHITE, " ")))
 
 
 def json_quoted(text: Column) -> Column:
-    whole = F.to_json(F.struct(text.alias("v")))
-    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+    """The text as a JSON string: quotes, backslashes and control characters escaped, hexadecimal digits in lower case."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    clean = out
+    for k in range(32):
+        clean = F.replace(clean, F.lit(chr(k)), F.lit(short.get(k, f"\\u{k:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), clean).otherwise(out), F.lit('"'))
 
 
 def body_hash(body: Column) -> Column:
-    """SHA-256 of the folded body as a JSON string; empty for an empty body."""
-    text = folded(F.coalesce(body, F.lit("")))
-    return F.when(text == "", F.lit("")).otherwise(F.sha2(json_quoted(text).cast("binary"), 256))
+    """SHA-256 of the folded body as a JSON string; empty for no body. Bodies of white space alone are alike."""
+    return F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).otherwise(F.sha2(json_quoted(folded(body)).cast("binary"), 256))
 
 
 def iso(ts: Column) -> Column:
@@ -60,11 +69,11 @@ def iso(ts: Column) -> Column:
 def event_id(published: Column, security_ids: Column, title: Column, url: Column) -> Column:
     text = F.concat(
         F.lit('{"published_at":'),
-        F.coalesce(F.concat(F.lit('"'), iso(published), F.lit('"')), F.lit("null")),
+        F.coalesce(F.concat(F.lit('"'), iso(published), F.lit('"')), F.lit('""')),
         F.lit(',"security_ids":'),
         F.to_json(F.array_sort(security_ids)),
         F.lit(',"title":'),
-        json_quoted(F.lower(F.trim(title))),
+        json_quoted(F.lower(stripped(title))),
         F.lit(',"url":'),
         json_quoted(canonical_url(url)),
         F.lit("}"),

@@ -20,11 +20,12 @@ def _looked_up(key: Column, table: dict) -> Column:
 
 
 def invalid(asof: Column) -> Column:
-    """Why an impact cannot be scored, or null."""
-    share = lambda c: F.col(c).isNull() | F.isnan(c) | ~F.col(c).between(0, 1)
+    """Why an impact cannot be scored, or null. Shares that are missing count as whole."""
+    share = lambda c: F.col(c).isNotNull() & (F.isnan(c) | ~F.col(c).between(0, 1))
+    known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
     return (
-        F.when(~F.col("direction_sign").isin(-1, 0, 1), "direction_sign")
-        .when(~F.col("impact_level").isin(*WEIGHTS), "impact_level")
+        F.when(~known("direction_sign", (-1, 0, 1)), "direction_sign")
+        .when(~known("impact_level", WEIGHTS), "impact_level")
         .when(share("evidence_confidence"), "evidence_confidence")
         .when(share("stock_relevance"), "stock_relevance")
         .when(F.col("event_time").isNull() | (F.col("event_time") > asof), "event_time")
@@ -38,16 +39,32 @@ def contribution(asof: Column, half_lives: dict | None = None) -> Column:
     return F.col("direction_sign") * _looked_up(F.col("impact_level"), WEIGHTS) * F.coalesce("evidence_confidence", F.lit(1.0)) * F.coalesce("stock_relevance", F.lit(1.0)) * F.exp(-math.log(2) * age / half)
 
 
+def review_key() -> Column:
+    """What a later review supersedes by: its task, else its event id, else its address."""
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    return F.coalesce(given("task_id"), given("event_id"), F.coalesce("url", F.lit("")))
+
+
 def superseded(reviews: DataFrame, asof: str) -> DataFrame:
-    """The latest review of each task by ``asof``; of equal times the first row."""
-    return latest(reviews.filter(F.col("available_at") <= F.lit(asof).cast("timestamp")), ["task_id"], [F.desc("available_at"), F.asc("row_ord")])
+    """The latest review of each key by ``asof``, retractions included; of equal times the first row."""
+    return latest(reviews.filter(F.col("available_at") <= F.lit(asof).cast("timestamp")), [review_key()], [F.desc("available_at"), F.asc("row_ord")])
+
+
+def assessed() -> Column:
+    """Whether a review says what its event means: a retraction and one without an assessment do not."""
+    return (F.coalesce("grade", F.lit("insufficient")) != "insufficient") & F.col("impact_level").isNotNull()
 
 
 def representatives(reviews: DataFrame) -> DataFrame:
-    """Each cluster's strongest review, dated by the cluster's first event, with the members' number."""
+    """Each cluster's strongest assessed review, dated by the cluster's first event, with the members' number.
+
+    A review without a cluster is one of its own, by its event id. Missing shares count as
+    nothing here.
+    """
     strength = F.coalesce("evidence_confidence", F.lit(0.0)) * F.coalesce("stock_relevance", F.lit(0.0))
+    cluster = F.coalesce(F.nullif("event_cluster", F.lit("")), "event_id", F.lit(""))
     of = Window.partitionBy("event_cluster")
-    ranked = reviews.withColumns(
+    ranked = reviews.filter(assessed()).withColumn("event_cluster", cluster).withColumns(
         {
             "_rank": F.row_number().over(of.orderBy(strength.desc(), F.desc("available_at"), F.asc("row_ord"))),
             "members": F.count("*").over(of),
@@ -57,11 +74,17 @@ def representatives(reviews: DataFrame) -> DataFrame:
     return ranked.filter("_rank = 1").drop("_rank")
 
 
+def contributions(reviews: DataFrame, asof: str) -> DataFrame:
+    """The representatives of what ``asof`` knows, with their contribution ``x``. One that cannot be scored fails the whole."""
+    at = F.lit(asof).cast("timestamp")
+    why = invalid(at)
+    failed = F.raise_error(F.concat(F.lit("impact cannot be scored: "), why)).cast("double")
+    return representatives(superseded(reviews, asof)).withColumn("x", F.when(why.isNotNull(), failed).otherwise(contribution(at)))
+
+
 def synthesis(reviews: DataFrame, asof: str, band: float = NEUTRAL_BAND) -> DataFrame:
     """One row: sums of the clusters' contributions and their direction."""
-    at = F.lit(asof).cast("timestamp")
-    scored = representatives(superseded(reviews, asof)).withColumn("x", contribution(at))
-    sums = scored.agg(
+    sums = contributions(reviews, asof).agg(
         F.count("*").alias("event_count"),
         F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("deduplicated_reprints"),
         F.coalesce(F.sum(F.greatest("x", F.lit(0.0))), F.lit(0.0)).alias("positive"),

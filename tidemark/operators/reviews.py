@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources import versions
 from . import impact
 
-#: Fixed values.
+#: Scopes that a review may have, and the sign of each grade.
 SCOPES = ["full_text", "official_excerpt", "source_excerpt", "numeric"]
 SIGNS = {"very_bullish": 1, "bullish": 1, "moderately_bullish": 1, "neutral": 0, "moderately_bearish": -1, "bearish": -1, "very_bearish": -1}
 

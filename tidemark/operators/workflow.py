@@ -26,9 +26,20 @@ def apply_dispositions(events: DataFrame, states: DataFrame, cutoff: str, key: s
 
 
 def retractions(reviews: DataFrame, reasons: DataFrame, at: str) -> DataFrame:
-    """A dated retraction of the latest review of each task that has a reason."""
-    last = latest(reviews, ["task_id"], [F.desc("available_at"), F.desc("row_ord")])
-    return last.join(reasons, "task_id").select("task_id", "row_ord", F.lit("insufficient").alias("grade"), "reason", F.lit(at).cast("timestamp").alias("available_at"))
+    """The dated retraction of the latest review of each task that has a reason, with the review's columns; of equal times the first row.
+
+    A review that is insufficient already is left as it is.
+    """
+    last = latest(reviews, ["task_id"], [F.desc("available_at"), F.asc("row_ord")]).filter(~F.col("grade").eqNullSafe("insufficient"))
+    stamp, none = F.lit(at).cast("timestamp"), lambda c: F.lit(None).cast(reviews.schema[c].dataType)
+    new = {"event_id": F.lit(""), "available_at": stamp, "received_at": stamp, "grade": F.lit("insufficient"), "grade_method": F.lit("review_retracted"), "grade_reason": F.col("reason"), "evidence_scope": F.lit("none"), "review_status": F.lit("retracted")}
+    gone = {c: none(c) for c in ("direction_sign", "impact_level", "event_kind", "event_time", "stock_relevance", "evidence_confidence") if c in reviews.columns}
+    return last.join(reasons.select("task_id", "reason"), "task_id").withColumns(new | gone).drop("reason").select("task_id", *[c for c in reviews.columns if c != "task_id"], *[c for c in new if c not in reviews.columns])
+
+
+def retract(reviews: DataFrame, reasons: DataFrame, at: str) -> DataFrame:
+    """The reviews with the retractions appended; nothing that was there changes."""
+    return reviews.unionByName(retractions(reviews, reasons, at), allowMissingColumns=True)
 
 
 def pending(tasks: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:

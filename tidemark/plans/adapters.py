@@ -45,18 +45,22 @@ KIND = "CASE event_type WHEN 'purchase' THEN 'earnings' WHEN 'view' THEN 'price_
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with retracted ones, missing tasks, clusters, ids and shares, equal times, and some that cannot be scored."""
     micros = "unix_micros(cast(ts AS timestamp))"
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("row_ord"),
-        F.expr("concat(user_id, '-', event_id % 40)").alias("task_id"),
+        F.expr("CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 > 0 THEN concat(user_id, '-', event_id % 40) END").alias("task_id"),
+        F.expr("CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('e', event_id) END").alias("event_id"),
+        F.expr("concat('https://e.example/', event_id % 700)").alias("url"),
         F.expr(KIND).alias("event_kind"),
         F.expr("cast(event_id % 3 - 1 AS int)").alias("direction_sign"),
-        F.expr("CASE WHEN value < 10 THEN 'light' WHEN value < 40 THEN 'medium' ELSE 'major' END").alias("impact_level"),
-        (F.get_json_object("props", "$.k").cast("double") / 100).alias("evidence_confidence"),
-        F.expr("(100 - (event_id % 7) * 10) / 100D").alias("stock_relevance"),
+        F.expr("CASE WHEN event_id % 53 = 0 THEN NULL WHEN value < 10 THEN 'light' WHEN value < 40 THEN 'medium' ELSE 'major' END").alias("impact_level"),
+        F.expr("CASE WHEN event_id % 17 = 3 THEN 'insufficient' ELSE element_at(array('bearish', 'neutral', 'bullish'), cast(event_id % 3 AS int) + 1) END").alias("grade"),
+        F.expr("CASE WHEN event_id % 37 > 0 THEN cast(get_json_object(props, '$.k') AS double) / 100 END").alias("evidence_confidence"),
+        F.expr("CASE WHEN event_id % 41 > 0 THEN (100 - (event_id % 7) * 10) / 100D END").alias("stock_relevance"),
         F.expr("cast(ts AS timestamp)").alias("event_time"),
-        F.expr(f"timestamp_micros({micros} + (event_id % 48) * {HOUR}L)").alias("available_at"),
-        F.expr(f"concat(user_id, ':', {micros} div 86400000000L)").alias("event_cluster"),
+        F.expr(f"timestamp_micros({micros} - {micros} % {HOUR}L + (1 + event_id % 48) * {HOUR}L)").alias("available_at"),
+        F.expr(f"CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 23 > 0 THEN concat(user_id, ':', {micros} div 86400000000L) END").alias("event_cluster"),
     )
 
 

@@ -13,8 +13,6 @@ from .oracles import ORACLE_SQL  # noqa: F401
 
 FLAGSHIP = "impact_synthesis"
 QUERIES: dict = {}
-WORDS = {"the": 1, "and": 1, "thing": 2, "der": -1, "que": -2, "und": 1, "les": -1}
-SIZES = {"with": 1, "mit": -1}
 
 
 def query(f):
@@ -43,7 +41,9 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def body_hash_dups(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.news(spark, d).select(S.body_hash(F.col("body")).alias("body_hash"), "row_ord")
+    odd = F.concat(F.lit("a"), F.expr("chr(cast(row_ord div 50 % 32 AS int))"), F.lit('b " '))
+    body = F.when(F.expr("row_ord % 50 = 0"), F.lit(" \t\n")).when(F.expr("row_ord % 50 = 1"), F.when(F.expr("row_ord div 50 % 32 > 0"), odd)).otherwise(F.col("body"))
+    rows = A.news(spark, d).select(S.body_hash(body).alias("body_hash"), "row_ord")
     return rows.groupBy("body_hash").agg(F.count("*").alias("n"), F.min("row_ord").alias("first")).filter("n > 1")
 
 
@@ -57,9 +57,10 @@ def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexicon_grade(spark: SparkSession, d: str) -> DataFrame:
-    grade, reason = lexicon.graded(F.col("evidence_scope"), F.substring("body", 1, 400), F.col("title"), WORDS)
-    score = lexicon.score(F.col("body"), WORDS, SIZES)
-    return A.news(spark, d).select("row_ord", grade.alias("grade"), reason.alias("reason"), score.cast("bigint").alias("score"))
+    """Whole bodies under the operator's own lexicon; some grades were given by another method."""
+    rows = A.news(spark, d).withColumns({"grade": F.expr("CASE WHEN row_ord % 21 = 0 THEN 'bullish' ELSE 'insufficient' END"), "grade_method": F.expr("CASE WHEN row_ord % 42 = 0 THEN 'source_review' ELSE '' END"), "grade_reason": F.lit("given"), "grade_version": F.lit("v0")})
+    rows = rows.withColumn("body", F.expr("CASE WHEN row_ord % 10 = 1 THEN '' ELSE body END"))
+    return lexicon.graded(rows).select("row_ord", "grade", "grade_reason", "grade_method", F.col("_score").cast("bigint").alias("score"))
 
 
 @query
@@ -68,25 +69,30 @@ def event_impact_decay(spark: SparkSession, d: str) -> DataFrame:
     return A.reviews(spark, d).select("row_ord", F.round(impact.contribution(at), 6).alias("contribution"), impact.invalid(at).alias("invalid"))
 
 
+def _scorable(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews that an import would admit; one that cannot be scored fails a synthesis."""
+    return A.reviews(spark, d).filter(F.col("evidence_confidence").isNull() | F.col("evidence_confidence").between(0, 1))
+
+
 @query
 def supersede_reviews(spark: SparkSession, d: str) -> DataFrame:
-    return impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF).select("task_id", "row_ord", _us("available_at"))
+    return impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF).select(impact.review_key().alias("review_key"), "row_ord", "grade", _us("available_at"))
 
 
 @query
 def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
-    rows = impact.representatives(impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF))
+    rows = impact.representatives(impact.superseded(_scorable(spark, d), A.IMPACT_ASOF))
     return rows.select("event_cluster", "row_ord", "members", _us("event_time"))
 
 
 @query
 def impact_synthesis(spark: SparkSession, d: str) -> DataFrame:
-    return impact.synthesis(A.reviews(spark, d), A.IMPACT_ASOF)
+    return impact.synthesis(_scorable(spark, d), A.IMPACT_ASOF)
 
 
 @query
 def contribution_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = impact.representatives(impact.superseded(A.reviews(spark, d), A.IMPACT_ASOF)).withColumn("x", F.round(impact.contribution(F.lit(A.IMPACT_ASOF).cast("timestamp")), 6))
+    rows = impact.contributions(_scorable(spark, d), A.IMPACT_ASOF).withColumn("x", F.round("x", 6))
     return rows.orderBy(F.abs("x").desc(), F.asc("row_ord")).limit(20).select("row_ord", "event_cluster", F.col("x").alias("contribution"))
 
 
@@ -136,8 +142,19 @@ def dispositions_apply(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def review_retractions(spark: SparkSession, d: str) -> DataFrame:
-    reasons = A.table(spark, d, "events").select(F.expr("concat(user_id, '-', event_id % 40)").alias("task_id")).distinct().filter("task_id LIKE '%7'").withColumn("reason", F.concat(F.lit("withdrawn "), F.col("task_id")))
-    return workflow.retractions(A.reviews(spark, d), reasons, "2024-03-01 00:00:00").select("task_id", "row_ord", "grade", "reason", _us("available_at"))
+    """A part of the tasks, by a hash of their names, is withdrawn; of equal times the first review counts."""
+    rows = A.reviews(spark, d)
+    reasons = rows.filter("task_id <> ''").select("task_id").distinct().filter("substr(md5(cast(task_id AS binary)), 1, 1) < '3'").withColumn("reason", F.concat(F.lit("withdrawn "), F.col("task_id")))
+    out = workflow.retractions(rows, reasons, "2024-03-01 00:00:00")
+    return out.select("task_id", "row_ord", "grade", "grade_reason", "evidence_scope", "event_id", "impact_level", _us("available_at"))
+
+
+@query
+def retracted_impact(spark: SparkSession, d: str) -> DataFrame:
+    """The synthesis after those retractions, which withdraw what they touch."""
+    rows = _scorable(spark, d)
+    reasons = rows.filter("task_id <> ''").select("task_id").distinct().filter("substr(md5(cast(task_id AS binary)), 1, 1) < '3'").withColumn("reason", F.lit("withdrawn"))
+    return impact.synthesis(workflow.retract(rows, reasons, "2024-01-24 00:00:00").withColumn("row_ord", F.col("row_ord") + F.when(F.col("review_status").isNull(), 0).otherwise(1_000_000_000)), A.IMPACT_ASOF)
 
 
 @query
@@ -183,7 +200,7 @@ def publication_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def event_id_hash(spark: SparkSession, d: str) -> DataFrame:
-    return A.news(spark, d).select("row_ord", S.event_id(F.col("published_at"), F.col("security_ids"), F.lit("Title of one"), F.col("url")).alias("event_id"))
+    return A.news(spark, d).select("row_ord", S.event_id(F.expr("CASE WHEN row_ord % 6 > 0 THEN published_at END"), F.col("security_ids"), F.col("title"), F.col("url")).alias("event_id"))
 
 
 @query
@@ -283,7 +300,7 @@ def candidate_sources(spark: SparkSession, d: str) -> DataFrame:
 @query
 def archived_replay(spark: SparkSession, d: str) -> DataFrame:
     turns = A.table(spark, d, "conversations")
-    readings = turns.select(F.col("conv_id").alias("task_id"), F.expr("concat('u', turn % 3)").alias("url"), F.col("turn").alias("ord"), F.when(F.length("text") % 3 == 0, "read").otherwise("blocked").alias("status"), F.substring("text", 1, 20).alias("quote"))
+    readings = turns.select(F.col("conv_id").alias("task_id"), F.expr("concat('u', turn % 3)").alias("url"), F.col("turn").alias("ord"), F.when(F.length("text") % 3 == 0, "read").otherwise("blocked").alias("status"), F.col("text").alias("quote"))
     tasks = turns.select(F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1_000_000_000)).alias("task_id")).distinct()
     requests = tasks.select("task_id", F.explode(F.array(*map(F.lit, ("u0", "u1", "u2", "u9")))).alias("url"))
     return collection.replay(requests, readings)
@@ -292,7 +309,7 @@ def archived_replay(spark: SparkSession, d: str) -> DataFrame:
 @query
 def evidence_table(spark: SparkSession, d: str) -> DataFrame:
     url = F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('https://e.example/', doc_id) END")
-    text = F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE substring(text, 1, 200) END")
+    text = F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END")
     line = collection.evidence_row(F.substring("text", 1, 60), F.lit("fetched"), F.expr("CASE WHEN doc_id % 3 > 0 THEN concat('<', source, '|') END"), url, F.col("lang"), text, F.lit(None).cast("string"))
     return A.table(spark, d, "documents").select("doc_id", line.alias("line"))
 
