@@ -296,20 +296,20 @@ def test_seats_give_probabilities():
     head[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
     w, u = w[head], u[head]
     c = np.where(rng.random(len(w)) < 0.3, rng.integers(65, 900, len(w)), rng.integers(1, 60, len(w)))
-    L = language_model
+    L, none = language_model, np.zeros(0, np.int64)
     state = L.State(w, u, c, L.Seats.first(c), L.Seats.first(np.zeros(0, np.int64)))
     state.root = L.Seats.first(state.at_root())
     v = len(state.tokens)
     for _ in range(4):
         root = L.Root(int(state.at_root().sum()), int(state.root.t.sum()), v, (0.5, 0.7))
         contexts, _, tables = state.contexts()
-        state.sweep(tables[np.searchsorted(contexts, state.u)], root, {}, rng)
+        state.sweep(tables[np.searchsorted(contexts, state.u)], root, (none, none, none), rng)
         state = L.State.read(state.blob())
         assert (state.seats.t <= state.c).all() and (state.seats.t >= 1).all() and (state.root.t <= state.at_root()).all()
         large = state.seats.tables
         assert np.array_equal(state.c[state.seats.large], np.add.reduceat(large.sizes, large.bounds[:-1]))
     root = L.Root(int(state.at_root().sum()), int(state.root.t.sum()), v, (0.5, 0.7))
-    p0 = np.append(root.p(*state.rooted({})), root.p(np.zeros(1), np.zeros(1)))
+    p0 = np.append(root.p(*state.rooted((none, none, none))), root.p(np.zeros(1), np.zeros(1)))
     assert abs(p0.sum() - 1) < 1e-9
     for x in (*np.unique(u), 77):
         mine, sums = state.u == x, state.contexts()
