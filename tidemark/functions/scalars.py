@@ -154,3 +154,35 @@ def public_url(url: Column) -> Column:
     for domain, heads in QUOTE_PAGES.items():
         quote = quote | (host.endswith(domain) & path.rlike("^(" + "|".join(heads) + ")"))
     return F.coalesce((host != "") & ~host.isin("localhost", "127.0.0.1", "[::1]") & ~quote, F.lit(False))
+
+
+def fixed(value: Column, places: int, sign: bool = False) -> Column:
+    """A number with so many places, halves to the even digit, as reports print it; with a plus sign if asked."""
+    text = F.bround(value.cast("decimal(38,18)"), places).cast(f"decimal(38,{places})").cast("string")
+    return F.when(value >= 0, F.concat(F.lit("+"), text)).otherwise(text) if sign else text
+
+
+#: Names of machines that are no public hosts.
+LOCAL_NAMES = ["localhost"]
+LOCAL_ENDS = [".localhost", ".local", ".internal", ".lan", ".home"]
+#: Address blocks that are not global, as first octets or pairs of octets.
+PRIVATE = r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
+
+
+def outbound_url(url: Column) -> Column:
+    """Whether an address may be fetched: https, the usual port, no user, and no host or literal address of the own network.
+
+    Names are not looked up; whoever connects must check what they resolve to.
+    """
+    where = r"^(?i:https)://(\[[^\]]*\]|[^/?#:@]+)(:443)?(?:[/?#].*)?$"
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, where, 1)), r"\.$", "")
+    local = host.isin(LOCAL_NAMES) | host.startswith("[")
+    for end in LOCAL_ENDS:
+        local = local | host.endswith(end)
+    literal = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    return F.coalesce(url.rlike(where) & (host != "") & ~local & ~(literal & host.rlike(PRIVATE)), F.lit(False))
+
+
+def loopback_url(url: Column) -> Column:
+    """Whether a service's address stays on this machine: http or https, a loopback host, a port, no user and no query."""
+    return F.coalesce(url.rlike(r"^(?i:https?)://(?i:localhost|127\.0\.0\.1|\[::1\]):[0-9]{1,5}(/[^?#@]*)?$"), F.lit(False))

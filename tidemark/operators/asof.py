@@ -32,8 +32,9 @@ def states_asof(states: DataFrame, cutoff: str) -> DataFrame:
     return latest(states.filter(F.col("reviewed_at") <= F.lit(cutoff).cast("timestamp")), ["task_id"], [F.desc("reviewed_at"), F.asc("state_ord")])
 
 
-def latest_vintages(observations: DataFrame, cutoff: str) -> DataFrame:
-    """The latest vintage of each (series, date) by the cutoff; of equal times the later row."""
-    at = F.lit(cutoff).cast("timestamp")
-    known = observations.filter(F.col("available_at").isNotNull() & (F.col("available_at") <= at) & (F.col("observation_date") <= at.cast("date")))
-    return latest(known, ["series_id", "observation_date"], [F.desc("available_at"), F.desc("row_ord")])
+def latest_vintages(observations: DataFrame, cutoff: str | None) -> DataFrame:
+    """The latest vintage of each (series, date) by the cutoff, or of all without one, where unknown times come first; of equal times the later row."""
+    if cutoff is not None:
+        at = F.lit(cutoff).cast("timestamp")
+        observations = observations.filter((F.col("available_at") <= at) & (F.col("observation_date") <= at.cast("date")))
+    return latest(observations, ["series_id", "observation_date"], [F.desc_nulls_last("available_at"), F.desc("row_ord")])

@@ -15,3 +15,8 @@ def resolve(requests: DataFrame, securities: DataFrame) -> DataFrame:
     default = F.concat_ws(":", "market", F.when(F.col("market") == "HK", "XHKG").otherwise("XNAS"), "ticker")
     found = F.when(F.col("matches") == 0, default).when(F.col("matches") == 1, F.col("one")).otherwise("ambiguous")
     return out.select("request_id", found.alias("security_id"), "matches")
+
+
+def by_id(requests: DataFrame, securities: DataFrame) -> DataFrame:
+    """Requests with the security that has their id, or nulls."""
+    return requests.join(securities, "security_id", "left")

@@ -135,12 +135,12 @@ appended AS (SELECT * FROM reviews WHERE conf IS NULL OR conf BETWEEN 0 AND 1 UN
     "macro_latest_vintage": f"WITH {_macro('2024-01-20')} SELECT series_id, observation_date::VARCHAR AS day, row_ord, value FROM latest",
     "macro_lag20": f"""WITH {_macro('2024-01-28')}, l AS (SELECT series_id, observation_date, value, lag(value, 20) OVER (PARTITION BY series_id ORDER BY observation_date) AS past,
     count(*) OVER (PARTITION BY series_id) AS n FROM latest QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY observation_date DESC) = 1)
-SELECT series_id, round(CASE WHEN n >= 21 THEN value - past END, 6) AS change, CASE WHEN n < 21 THEN 'insufficient_history' ELSE 'ok' END AS reason, 'difference' AS kind FROM l
-UNION ALL SELECT series_id, round(CASE WHEN n >= 21 AND value > 0 AND past > 0 THEN ln(value / past) END, 6), CASE WHEN n < 21 THEN 'insufficient_history' WHEN value <= 0 OR past <= 0 THEN 'non_positive' ELSE 'ok' END, 'log' FROM l""",
+SELECT series_id, 'difference' AS kind, round(CASE WHEN n >= 21 THEN value - past END, 6) AS change, CASE WHEN n < 21 THEN 'window_insufficient' ELSE 'ok' END AS reason, observation_date::VARCHAR AS latest FROM l
+UNION ALL SELECT series_id, 'log', round(CASE WHEN n >= 21 AND value > 0 AND past > 0 THEN ln(value / past) END, 6), CASE WHEN n < 21 THEN 'window_insufficient' WHEN value <= 0 OR past <= 0 THEN 'nonpositive_base' ELSE 'ok' END, observation_date::VARCHAR FROM l""",
     "macro_nearest_year": """WITH y AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate)::DATE AS d, sum(round(o_totalprice * 100)::BIGINT) / count(*) / 100 AS value FROM orders GROUP BY 1, 2),
 m AS (SELECT *, max(d) OVER s AS last_date, count(*) OVER s AS n FROM y WINDOW s AS (PARTITION BY series_id)),
-p AS (SELECT series_id, value AS past FROM m WHERE d < last_date QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY abs(date_diff('day', d, last_date) - 365), d) = 1)
-SELECT m.series_id, round(CASE WHEN n >= 13 AND past <> 0 THEN m.value / past - 1 END, 6) AS yoy, CASE WHEN n < 13 THEN 'insufficient_history' WHEN past = 0 THEN 'zero_base' ELSE 'ok' END AS reason
+p AS (SELECT series_id, value AS past, d AS prior FROM m WHERE d < last_date QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY abs(date_diff('day', d, last_date) - 365), d) = 1)
+SELECT m.series_id, round(CASE WHEN n >= 13 AND past > 0 THEN (m.value / past - 1) * 100 END, 6) AS yoy, CASE WHEN n < 13 THEN 'window_insufficient' WHEN past > 0 THEN 'ok' ELSE 'nonpositive_base' END AS reason, prior::VARCHAR AS prior
 FROM m LEFT JOIN p USING (series_id) WHERE m.d = m.last_date""",
     "macro_spread": f"WITH {_macro('2024-01-20')} SELECT round(a - b, 6) AS spread FROM (SELECT arg_max(value, observation_date) AS a FROM latest WHERE series_id = 'purchase'), (SELECT arg_max(value, observation_date) AS b FROM latest WHERE series_id = 'view') WHERE a IS NOT NULL AND b IS NOT NULL",
     "identity_resolve_interval": """WITH sec AS (SELECT 'SEC' || c_custkey AS security_id, 'K' || (c_custkey % 97) AS ticker, CASE WHEN c_nationkey % 2 = 0 THEN 'US' ELSE 'HK' END AS market,
@@ -161,7 +161,8 @@ FROM news LEFT JOIN now_states ON task_id = row_ord % 500 WHERE status IS DISTIN
     "pending_anti": f"WITH {STATES} SELECT task_id, epoch_us(published_at) AS published_at FROM tasks WHERE task_id NOT IN (SELECT task_id FROM states WHERE status = 'verified')",
     "fallback_first_success": f"""WITH {ATTEMPTS}, s AS (SELECT task_id, min(attempt_ord) FILTER (status = 'fetched') AS first, count(*) AS n FROM attempts GROUP BY 1)
 SELECT s.task_id, coalesce(a.kind, 'none') AS kind, coalesce(first + 1, n)::BIGINT AS attempts, CASE WHEN first IS NULL THEN 'no_usable_evidence' ELSE 'ok' END AS reason FROM s LEFT JOIN attempts a ON a.task_id = s.task_id AND a.attempt_ord = s.first""",
-    "collection_totals": f"WITH {ATTEMPTS} SELECT count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status <> 'fetched') AS unresolved, count(*) FILTER (kind <> 'source') AS search_requests, count(DISTINCT task_id) AS tasks FROM attempts",
+    "collection_totals": f"""WITH {ATTEMPTS}, t AS (SELECT task_id, bool_or(status = 'fetched') AS got, count(*) FILTER (kind <> 'source') AS n FROM attempts GROUP BY 1)
+SELECT count(*) AS total_titles, count(*) FILTER (got) AS fetched_for_review, count(*) FILTER (NOT got) AS fetch_unresolved, sum(n)::BIGINT AS search_requests FROM t""",
     "excerpt_200_words": f"""SELECT doc_id, sha256(array_to_string(({TOKENS})[1:200], ' ')) AS excerpt_sha256, len({TOKENS}) > 200 AS truncated,
   NOT regexp_matches(lower(substr(text, 1, 4000)), 'access denied|verify you are human|enable javascript and cookies|subscribe to continue|sign in to read|we do not host the original article') AND length(text) >= 300 AND len({TOKENS}) >= 40 AS usable FROM documents""",
     "publication_metadata": "SELECT event_id, (CASE event_id % 4 WHEN 0 THEN floor(epoch(ts)) WHEN 1 THEN floor(epoch(ts)) - 28800 WHEN 3 THEN floor(epoch(ts)) END)::BIGINT AS published FROM events",
@@ -175,7 +176,6 @@ r AS (SELECT DISTINCT 'd' || (c_custkey % 350) AS name FROM customer)
 SELECT name, version, rows, version IS NULL AS missing FROM r LEFT JOIN c USING (name)""",
     "source_policy_gate": """WITH e AS (SELECT event_id, ['sec', 'fred', 'gdelt', 'hkma', 'other'][event_id % 5 + 1] AS source, CASE WHEN event_id % 3 = 0 THEN 'hk' ELSE 'us' END AS market, ['news', 'macro', 'filings'][event_id % 7 % 3 + 1] AS dataset FROM events)
 SELECT * FROM e WHERE (source = 'sec' AND market = 'us' AND dataset = 'filings') OR (source = 'fred' AND market = 'us' AND dataset = 'macro') OR (source = 'gdelt' AND dataset = 'news') OR (source = 'hkma' AND market = 'hk' AND dataset IN ('news', 'macro'))""",
-    "context_topk": f"WITH {NEWS}, {VISIBLE} SELECT row_ord, {ADMITTED} AS graded, epoch_us(published_at) AS published_at FROM visible ORDER BY {ADMITTED} DESC, visible.published_at DESC NULLS LAST, row_ord LIMIT 50",
     "review_admissibility_violations": f"WITH {REVIEWS}, v AS (SELECT row_ord, {INVALID.format('2024-01-20')} AS violation FROM reviews) SELECT violation, count(*) AS n, min(row_ord) AS first FROM v WHERE violation IS NOT NULL GROUP BY 1",
 }
 

@@ -105,12 +105,13 @@ def macro_latest_vintage(spark: SparkSession, d: str) -> DataFrame:
 def macro_lag20(spark: SparkSession, d: str) -> DataFrame:
     series = asof.latest_vintages(A.macro(spark, d), "2024-01-28 00:00:00")
     a = macro.lag_reading(series).withColumn("kind", F.lit("difference"))
-    return a.unionAll(macro.lag_reading(series, log=True).withColumn("kind", F.lit("log")))
+    both = a.unionAll(macro.lag_reading(series, log=True).withColumn("kind", F.lit("log")))
+    return both.select("series_id", "kind", F.round("change", 6).alias("change"), "reason", F.col("latest").cast("string").alias("latest"))
 
 
 @query
 def macro_nearest_year(spark: SparkSession, d: str) -> DataFrame:
-    return macro.year_over_year(A.yearly(spark, d))
+    return macro.year_over_year(A.yearly(spark, d)).select("series_id", F.round("yoy", 6).alias("yoy"), "reason", F.col("prior").cast("string").alias("prior"))
 
 
 @query
@@ -174,12 +175,7 @@ def fallback_first_success(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def collection_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _totals(_attempts(spark, d))
-
-
-def _totals(rows: DataFrame) -> DataFrame:
-    got = F.col("status") == "fetched"
-    return rows.agg(F.count_if(got).alias("fetched"), F.count_if(~got).alias("unresolved"), F.count_if(F.col("kind") != "source").alias("search_requests"), F.count_distinct("task_id").alias("tasks"))
+    return collection.totals(_attempts(spark, d).withColumn("kind", F.when(F.col("kind") == "source", "provided_source_url").otherwise(F.col("kind"))))
 
 
 @query
@@ -231,13 +227,6 @@ def source_policy_gate(spark: SparkSession, d: str) -> DataFrame:
     return versions.allowed(rows, "source", "market", "dataset")
 
 
-@query
-def context_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = asof.visible(A.news(spark, d), A.CUTOFF, 20)
-    graded = F.col("evidence_scope").isin("full_text", "official_excerpt", "numeric", "source_excerpt")
-    return rows.orderBy(graded.desc(), F.desc_nulls_last("published_at"), F.asc("row_ord")).limit(50).select("row_ord", graded.alias("graded"), _us("published_at"))
-
-
 @query
 def review_admissibility_violations(spark: SparkSession, d: str) -> DataFrame:
     at = F.lit("2024-01-20 00:00:00").cast("timestamp")
@@ -357,3 +346,10 @@ def synthesis_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = A.news(spark, d).withColumn("event_id", F.expr("CASE WHEN row_ord % 4 = 0 THEN concat('e', row_ord) ELSE '' END"))
     kept = F.when(F.expr("row_ord % 3 > 0"), F.concat(F.lit("evt-"), F.col("row_ord")))
     return rows.select("row_ord", reviews.synthesis_key(kept).alias("synth_key"))
+
+
+# The rest are beside their SQL.
+from . import lifecycle  # noqa: E402
+
+QUERIES |= lifecycle.QUERIES
+ORACLE_SQL |= lifecycle.ORACLE_SQL
