@@ -6,8 +6,10 @@ is joined back to its documents. A document goes if it fails a base rule, or if
 soft rule on a host whose shrunk rate is above ``host_rate``; other documents stay.
 
 Defined cases: a null text counts as empty (no words: rejected); a null host is the host
-``""``; rows are judged one by one, so repeated rows and null ids get a row each; an empty
-table gives an empty table; other columns are passed through and never read.
+``""``; rows are judged one by one, so repeated rows and null ids get a row each; a share or
+rate on its threshold passes, as only what lies above fails; an empty table gives an empty
+table; a very long text is measured whole, in its row; other columns are passed through,
+whatever their names (but for the prefix ``__quality_``), and never read.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def _covered(hashes: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns __quality_<count> and __quality_base_failed."""
     p = PREFIX
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     trimmed = F.btrim(t, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{WS}+"))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
@@ -73,13 +75,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.col(f"{p}n_words")
     failed = (n < MIN_WORDS) | (F.lit(100) * F.col(f"{p}n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * n)
     soft = (F.col(f"{p}n_symbols") > SYMBOL_SHARE * F.col(f"{p}word_chars")) | (F.col(f"{p}n_dup_lines") > DUP_LINE_SHARE * F.size(f"{p}lines"))
-    # A filter on the flags would be pushed below and work out the measures again for each use;
-    # it stops at a projection with a row number that the filter reads, too.
-    return out.withColumns({f"{p}base_failed": failed, f"{p}soft_failed": soft, f"{p}row": F.monotonically_increasing_id()}).drop(f"{p}lines")
+    return out.withColumns({f"{p}base_failed": failed, f"{p}soft_failed": soft}).drop(f"{p}lines")
 
 
 def _host(host: str) -> Column:
-    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
 
 
 def host_verdicts(flags: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
@@ -98,16 +98,16 @@ def host_verdicts(flags: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     return hosts.select(f"{p}host", rate.alias(f"{p}rate"), (rate > host_rate).alias(f"{p}bad"))
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE, narrow: list[str] | None = None) -> DataFrame:
-    """Rows of docs with their measures, __quality_rate and __quality_kept.
+def judged(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE, keep: list[str] | None = None) -> DataFrame:
+    """Rows of docs with their measures, __quality_rate and __quality_kept; ``keep`` names the columns to keep, by default all.
 
-    ``narrow``: keep these columns alone; the texts are then read once and the measures
-    staged. Without it the texts are measured a second time rather than written.
+    The texts are measured once: the rows go to the shared folder with their measures, as
+    the hosts' verdicts need them all.
     """
     p = PREFIX
     rows = measured(docs, text).withColumn(f"{p}host", _host(host))
-    if narrow is not None:
-        rows = staged(rows.select(*narrow, *[c for c in rows.columns if c.startswith(p)]), "measures")
+    names = docs.columns if keep is None else keep
+    rows = staged(rows.select(*[F.col(f"`{c}`") for c in names], *[c for c in rows.columns if c.startswith(p)]), "measures")
     flags = rows.select(f"{p}host", (F.col(f"{p}base_failed") | F.col(f"{p}soft_failed")).alias(f"{p}failed"))
     # Written out, so its size is known: Spark broadcasts it if small and else joins by shuffle.
     verdicts = staged(host_verdicts(flags, host_rate), "verdicts")
@@ -117,11 +117,11 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", host_rate:
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    return judged(docs, text, host).filter(F.col(f"{PREFIX}kept") & (F.col(f"{PREFIX}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, text, host).filter(f"{PREFIX}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each document: the counts, base_failed, kept, host_rate."""
     p = PREFIX
-    out = judged(docs.select("doc_id", "text", "source"), narrow=["doc_id"])
+    out = judged(docs.select("doc_id", "text", "source"), keep=["doc_id"])
     return out.select("doc_id", *[F.col(p + c).alias(c) for c in COUNTS], F.col(f"{p}base_failed").alias("base_failed"), F.col(f"{p}kept").alias("kept"), F.round(f"{p}rate", 9).alias("host_rate"))
