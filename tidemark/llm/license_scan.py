@@ -1,12 +1,15 @@
 """License scan by ordered signature rules, in DataFrame functions alone.
 
-Texts that hold one of the gate's keywords are cut to words; each rule whose keyword occurs
-is matched, which gives intervals. Intervals are taken by start, longer first, then by
+Texts that hold one of the gate's keywords are cut to words; the rules are grouped by keyword,
+and the groups whose keyword occurs are matched, which gives intervals. Intervals are taken by start, longer first, then by
 priority; one that lies inside an interval taken earlier is suppressed, so the most specific
 reading of a place stays. All is done within the row: there is no shuffle.
 
 Defined cases: a null or empty text has no words, no label and score 0; rows are scanned one
-by one, whatever their ids; an empty table gives an empty table.
+by one, whatever their ids, equal rows alike; of two rules with one interval and priority the
+label that comes first counts; an empty table gives an empty table; a very long text is
+scanned whole, in its row; other columns pass through, whatever their names (but for the
+prefix ``__license_``).
 """
 
 from __future__ import annotations
@@ -22,17 +25,24 @@ from .license_rules import rules
 #: Fixed values of the contract: phrase and label.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: A text without any of these in lower case can match neither a phrase nor a rule's keyword.
-GATE = ["licen", "gpl", "spdx", "creative", "cc0", "wtfpl", "cddl", "eupl", "cecill", "openrail", "beerware", "rights", "public", "bsd", "mpl", "epl", "permission", "perl", "w3c", "redistribution"]
-CC_GATE = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|zero)"
+#: A text that has none of these in lower case can match neither a phrase nor a rule's keyword: parts of words that are rare elsewhere,
+GATE = ["licen", "spdx", "gpl", "cddl", "eupl", "cecill", "openrail", "beerware", "wtfpl"]
+#: and words, of which a rule's keyword holds one of these runs at least; all are looked for in one pass.
+GATE_WORDS = [
+    "advertising", "affirmer", "all rights reserved", "altered source", "any and all copyrights", "anyone is free to copy", "bsd", "cc by", "cc zero", "cc0", "commercial purposes", "confidential and proprietary", "creative commons", "dedicated the work", "distribute the modified",
+    "endorse or promote", "epl", "font software", "held liable", "hosted or managed", "interacting with it", "llama", "mpl", "package may be copied", "perl itself", "permission is", "permission notice", "permission to", "polyform", "product includes software", "public domain",
+    "redistribute your version", "redistribution", "redistributions", "retain this notice", "third parties as a service", "unauthorized copying", "unencumbered", "unmodified copies", "w3c", "what the fuck", "zlib",
+]
+_SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GATE_REGEX = "(?<![a-z0-9])(?:" + "|".join(w.replace(" ", _SEP) for w in GATE_WORDS) + ")|0bsd|freebsd"
 PREFIX = "__license_"
 
 
 def _gate(low: Column) -> Column:
-    out = low.rlike(CC_GATE)
+    out = F.lit(False)
     for word in GATE:
         out = out | F.contains(low, F.lit(word))
-    return out
+    return out | low.rlike(GATE_REGEX)
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -52,9 +62,12 @@ def _follows(words: Column, w: Column, i: Column, parts: list[str]) -> Column:
     return out
 
 
-def _rule_array() -> Column:
-    """The rules as one constant, which Spark folds when it plans."""
-    return F.from_json(F.lit(json.dumps([{"k": r.keyword, "x": r.regex, "l": r.label, "p": r.priority} for r in rules()])), "array<struct<k:string,x:string,l:string,p:int>>")
+def _rule_groups() -> Column:
+    """The rules by keyword as one constant, which Spark folds when it plans."""
+    groups: dict[str, list[dict]] = {}
+    for r in rules():
+        groups.setdefault(r.keyword, []).append({"x": r.regex, "l": r.label, "p": r.priority})
+    return F.from_json(F.lit(json.dumps([{"k": k, "r": r} for k, r in groups.items()])), "array<struct<k:string,r:array<struct<x:string,l:string,p:int>>>>")
 
 
 def _intervals(norm: Column, rule: Column) -> Column:
@@ -89,7 +102,7 @@ def _resolved(found: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __license_ columns: n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
     p = PREFIX
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     # A column of its own: the gate reads it some twenty times.
     docs = docs.withColumn(f"{p}low", F.lower(t))
     gate = _gate(F.col(f"{p}low"))
@@ -100,7 +113,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<int>")
     words = F.when(norm.isNotNull(), F.split(F.btrim(norm), " "))
     places = F.array(*[F.struct(F.lit(label).alias("l"), F.when(F.contains(norm, F.lit(f" {phrase} ")), let(words, _finder(phrase))).otherwise(none).alias("at")) for phrase, label in BASE])
-    found = F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(norm, r["k"])), lambda r: _intervals(norm, r)))
+    near = F.filter(_rule_groups(), lambda g: F.contains(norm, g["k"]))
+    found = F.flatten(F.transform(F.flatten(F.transform(near, lambda g: g["r"])), lambda r: _intervals(norm, r)))
     resolved = F.when(norm.isNotNull(), _resolved(found))
     out = out.withColumns({f"{p}places": F.when(norm.isNotNull(), places), f"{p}resolved": resolved})
     at = F.coalesce(F.flatten(F.transform(F.col(f"{p}places"), lambda x: x["at"])), none)

@@ -2,15 +2,19 @@
 
 Plain detection finds emails, IP addresses, card and phone numbers in the text as it is.
 Texts that show a sign of disguise pass through transducers that replace look-alike letters
-and digits, spelled digits, and the at / dot disguises, keeping for every piece of output
-the piece of source it came from. The same detectors run over the output, and spans that
-touch a rewritten piece are mapped back to source characters. A mapped span that overlaps a
-plain one is dropped, so plain spans always stay.
+and digits, digits spelled in English, German, French or Spanish, the at / dot disguises of
+these languages, and invisible characters, keeping for every piece of output the piece of
+source it came from. Look-alikes are all characters whose compatibility form is one ASCII
+character, all decimal digits, and a list of letters of other scripts. The same detectors run
+over the output, and spans that touch a rewritten piece are mapped back to source characters.
+Plain spans always stay; a mapped span that meets one is dropped unless it holds it and more.
 
 Every scan is linear in the text, whatever runs of letters or digits it holds.
 
 Defined cases: null or empty texts have no span; rows are scanned one by one, whatever their
-ids; offsets count code points, end exclusive.
+ids, equal rows alike; an empty table gives an empty table; a very long text is scanned
+whole; of two kinds at one place the one that is listed first comes first; other columns are
+not read; offsets count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[int, int, int]  # start, kind, end
@@ -77,52 +83,74 @@ def plain(text: str) -> list[Span]:
     return out
 
 
-#: Letters that look like Latin ones.
+#: Letters and marks of other scripts that look like ASCII ones.
 _ALIKE = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "ο": "o", "α": "a", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "Ο": "O", "Α": "A", "Β": "B", "Ε": "E", "Η": "H",
-    "ı": "i", "ɡ": "g", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ɡ": "g", "ɑ": "a", "ı": "i", "ȷ": "j",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S",
+    "ο": "o", "α": "a", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "Ο": "O", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ρ": "P", "Τ": "T", "Χ": "X", "Ζ": "Z",
+    "օ": "o", "ս": "u", "ո": "n", "հ": "h", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "\u00a0": " ", "\u202f": " ",
 }
-_FOLD = {ord(k): v for k, v in _ALIKE.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-for _base in (0x660, 0x6F0, 0x966, 0x9E6, 0xE50, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
-    _FOLD |= {_base + d: str(d) for d in range(10)}
+
+
+def _folds() -> dict[int, str]:
+    """What each look-alike stands for, one character for one."""
+    out = {}
+    for i in range(0x80, 0x20000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind == "Nd":
+            out[i] = str(unicodedata.decimal(c))
+        elif kind[0] in "LNPS":
+            plain_ = unicodedata.normalize("NFKC", c)
+            if len(plain_) == 1 and plain_.isascii() and plain_.isprintable():
+                out[i] = plain_
+    return out | {ord(k): v for k, v in _ALIKE.items()}
+
+
+_FOLD = _folds()
 _FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_FOLD)))) + "]")
 
-_NUMBERS = {w: str(d) for d, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_D = "(?:" + "|".join(_NUMBERS) + ")"
+#: The digits' names from nought on, in four languages, and the words for plus, dot and at.
+_NAMES = ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"]
+_NUMBERS = {w: str(d) for names in _NAMES for d, w in enumerate(names.split())} | {"oh": "0", "zwo": "2"}
+_D = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
+_PLUS, _POINT = "(?:plus|más|mas)", "(?:dot|point|punkt|punto)"
+_AT, _PLAIN_AT = "(?:at|ät|arroba|arobase|klammeraffe)", "(?:arroba|arobase|klammeraffe)"
 _GAP = r"[ \t\n,-]{1,3}"
 _OPEN, _CLOSE = r"[ \t]{0,3}[\[({<][ \t]{0,2}", r"[ \t]{0,2}[\])}>][ \t]{0,3}"
-#: After a bare "dot": a top-level domain that is no common word, or one more label before such a one.
-_TOP = "(?:com|org|net|edu|gov|mil|info|biz|io|co|uk|eu|fr|ch|nl|jp|cn|au|ca|ru|br|dev|app|ai)(?![a-z0-9-])"
-_LABELS = rf"(?:[a-z0-9-]{{1,63}}[ \t]{{1,3}}dot[ \t]{{1,3}}){{0,3}}{_TOP}"
+#: After a bare "dot": a top-level domain, or one more label before such a one.
+_TOP = "(?:com|org|net|edu|gov|mil|info|biz|io|co|uk|eu|fr|ch|nl|jp|cn|au|ca|ru|br|dev|app|ai|de|es|mx|ar)(?![a-z0-9-])"
+_LABELS = rf"(?:[a-z0-9-]{{1,63}}[ \t]{{1,3}}{_POINT}[ \t]{{1,3}}){{0,3}}{_TOP}"
+_BARE = r"(?<=[a-z0-9])[ \t]{1,3}"
 _REWRITES = re.compile(
-    rf"(?P<digits>(?<![a-z0-9])(?:plus{_GAP})?{_D}(?:{_GAP}(?:{_D}|dot|point)(?![a-z0-9])){{3,}})"
-    rf"|(?P<at>{_OPEN}at{_CLOSE}|(?<=[a-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}(?=[a-z0-9-]{{1,63}}(?:[ \t]{{1,3}}dot[ \t]{{1,3}}{_LABELS}|{_OPEN}dot{_CLOSE})))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])[ \t]{{1,3}}dot[ \t]{{1,3}}(?={_LABELS}))"
+    rf"(?P<digits>(?<![a-z0-9])(?:{_PLUS}{_GAP})?{_D}(?:{_GAP}(?:{_D}|{_POINT})(?![a-z0-9])){{3,}})"
+    rf"|(?P<at>{_OPEN}{_AT}{_CLOSE}|{_BARE}at[ \t]{{1,3}}(?=[a-z0-9-]{{1,63}}(?:[ \t]{{1,3}}{_POINT}[ \t]{{1,3}}{_LABELS}|{_OPEN}{_POINT}{_CLOSE}))|{_BARE}{_PLAIN_AT}[ \t]{{1,3}}(?=[a-z0-9]))"
+    rf"|(?P<dot>{_OPEN}(?:{_POINT}|\.){_CLOSE}|{_BARE}{_POINT}[ \t]{{1,3}}(?={_LABELS}))"
     rf"|(?P<none>[​‌‍⁠﻿­])",
     re.IGNORECASE | re.ASCII,
 )
 #: Each starts with a set of characters, which keeps the search fast. Without any of these signs no rewrite applies.
-_AT_SIGN = re.compile(r"[\[({<][ \t]{0,2}at[ \t]{0,2}[\])}>]")
-_DOT_SIGN = re.compile(r"[\[({<][ \t]{0,2}\.[ \t]{0,2}[\])}>]")
-_DIGIT_SIGN = re.compile(rf"[^a-z0-9]{_D}{_GAP}(?:{_D}|point){_GAP}")
+_WORD_SIGNS = ["dot", "punkt", "punto", "arroba", "arobase", "klammeraffe"]
+_BRACKET_SIGN = re.compile(r"[\[({<][ \t]{0,2}(?:at|ät|point|\.)[ \t]{0,2}[\])}>]")
+_POINT_SIGN = re.compile(rf"[ \t]point[ \t]{{1,3}}{_LABELS}")
+_DIGIT_SIGN = re.compile(rf"[^a-z0-9]{_D}{_GAP}(?:{_D}|{_POINT}){_GAP}")
 _NONE_SIGN = re.compile(r"[​‌‍⁠﻿­]")
 
 
 def _signs(text: str) -> bool:
     # A-Z only, as in the rewrites.
     low = " " + (text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-    if "dot" in low or _AT_SIGN.search(low) or _DOT_SIGN.search(low) or _DIGIT_SIGN.search(low):
+    if any(w in low for w in _WORD_SIGNS) or _BRACKET_SIGN.search(low) or _DIGIT_SIGN.search(low) or "point" in low and _POINT_SIGN.search(low):
         return True
     return not text.isascii() and bool(_FOLDED.search(text) or _NONE_SIGN.search(text))
 
 
-_WORD = re.compile("[a-z]+", re.IGNORECASE)
+_WORD = re.compile(r"[^\W\d_]+")
+_SPOKEN = _NUMBERS | dict.fromkeys(("plus", "más", "mas"), "+") | dict.fromkeys(("dot", "point", "punkt", "punto"), ".")
 
 
 def _spelled(text: str) -> str:
-    return "".join({"plus": "+", "dot": ".", "point": "."}.get(w, _NUMBERS.get(w, "")) for w in map(str.lower, _WORD.findall(text)))
+    return "".join(_SPOKEN.get(w, "") for w in map(str.lower, _WORD.findall(text)))
 
 
 class Normal:
@@ -161,7 +189,7 @@ class Normal:
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
-    """Spans that only the normal form shows, in source characters."""
+    """Spans that only the normal form shows, in source characters. One that meets a plain span must hold it and more."""
     if not _signs(text):
         return []
     normal, taken, out = Normal(text), sorted((s, e) for s, _, e in known), []
@@ -172,11 +200,21 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     for start, kind, end in plain(normal.text):
         s, e, changed = normal.source(start, end)
         k = bisect.bisect_left(taken, (e,)) - 1
-        if changed and not (k >= 0 and highest[k] > s):
+        if changed and (not (k >= 0 and highest[k] > s) or _holds(taken, highest, k, s, e)):
             out.append((s, kind, e))
     return out
 
 
+def _holds(taken: list[tuple[int, int]], highest: list[int], k: int, s: int, e: int) -> bool:
+    """Whether all plain spans up to the kth that meet s to e lie within, and none is all of it."""
+    while k >= 0 and highest[k] > s:
+        a, b = taken[k]
+        if b > s and (a < s or b > e or (a, b) == (s, e)):
+            return False
+        k -= 1
+    return True
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -194,7 +232,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("disguised", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["key", "spans"])
 
-    narrow = docs.select(key, text)
+    narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"key {narrow.schema[0].dataType.simpleString()}, spans array<struct<start:bigint,kind:string,end:bigint,disguised:boolean>>"
     return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
 
