@@ -1,6 +1,7 @@
 """Every registered query against its oracle, and operators on small inputs."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -113,12 +114,26 @@ def test_scalars(spark):
 
 
 def test_html():
-    story = '<html><head><title>T</title><script type="application/ld+json">{"headline": "H", "articleBody": "Own words.", "datePublished": "2024-01-02T00:00:00Z"}</script></head><body>menu</body></html>'
-    assert html.article(story) == ("H", "Own words.", "2024-01-02T00:00:00Z")
-    two = story.replace("<body>", '<script type="application/ld+json">{"headline": "Other", "articleBody": "No."}</script><body>')
-    assert html.article(two)[1] == "menu" and html.article(two, "h")[1] == "Own words."
-    assert html.article("<nav>x</nav><article><p>a <b>b</b></p></article>c")[1] == "a b"
+    words = "Own words. " * 40
+    data = lambda **x: f'<script type="application/ld+json">{json.dumps(x)}</script>'
+    story = data(**{"@type": "NewsArticle", "headline": "H", "articleBody": words, "datePublished": "2024-01-02T00:00:00Z"})
+    page = lambda head, body: f"<html><head><title>T | Site</title>{head}</head><body>{body}</body></html>"
+    assert html.article(page(story, "menu")) == ("T | Site", words, "2024-01-02T00:00:00Z")
+    two = page(story + data(headline="Other", articleBody="No."), f"<p>menu</p><div>T</div><p>{words}</p>")
+    assert html.article(two)[1] == "T\n" + words.strip() and html.article(two, "h!")[1] == words
+    nested = page(data(**{"@graph": [{"x": {"name": "T", "articleBody": words}}, {"articleBody": "other"}]}), "")
+    assert html.article(nested)[1] == words
+    # A card of another story is marked as article, the story is not.
+    card = page("", f"<article>card</article><h1>T</h1><div>{words}</div><nav>no</nav>")
+    assert html.article(card)[1].startswith("T\nOwn") and "no" not in html.article(card)[1].split()
+    assert html.article(page("", f"<nav>x</nav><article><p>{words}</p></article>"))[1].strip() == words.strip()
+    promoted = page("", f"<h1>T</h1>{words}Our analysts just identified a stock\n to buy. Tap here. end")
+    assert html.article(promoted)[1].endswith("words.  end")
+    assert html.article(page("", f"<h1>T</h1>Access denied {words}"))[1] == "" and html.article(page("", "<h1>T</h1>short"))[1] == ""
     assert html.article(None) == ("", "", "")
+    dated = lambda *d: html.article(page("".join(data(**{"@type": ["Article"], "datePublished": x}) for x in d), ""))[2]
+    assert dated("2024-01-02") == "2024-01-02" and dated("2024-01-02", "2024-01-03") == ""
+    assert html.article('<meta name="PubDate" content="2024-05-06">')[2] == "2024-05-06"
 
 
 def test_store(spark, tmp_path):

@@ -1,94 +1,135 @@
-"""Article text from web pages; parsing HTML has no built-in expression, so Arrow batches go through the standard parser."""
+"""Article text from web pages; parsing HTML has no built-in expression, so Arrow batches go through the standard parser.
+
+A story in JSON-LD that fits the headline, or stands alone, is the article. Else it is the
+visible text from the headline on, as cards of related stories often are marked as articles
+while the story is not; else what is marked as article, else all that is visible.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-HIDDEN = {"script", "style", "nav", "footer", "aside", "noscript", "template"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Tags whose text is not shown, tags without an end, names of a publication time, signs of a barrier, a promotion.
+HIDDEN = {"script", "style", "nav", "footer", "aside"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+TIMES = {"article:published_time", "datepublished", "pubdate", "parsely-pub-date"}
+BARRIERS = ["access denied", "verify you are human", "enable javascript and cookies", "we do not host the original article", "stores the headline, source, and snippet"]
+PROMOTION = re.compile(r"Our analysts just identified a stock.*?Tap here\.", re.IGNORECASE | re.DOTALL)
+LEAST = 300
 
 
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.article, self.in_title, self.in_data = 0, 0, False, False
-        self.title, self.body, self.visible, self.data, self.meta = [], [], [], [], ""
-        self.depth: list[str] = []
+        self.hidden, self.depth, self.article, self.in_title, self.data = 0, 0, None, False, None
+        self.title, self.body, self.visible, self.scripts, self.published = [], [], [], [], None
 
     def handle_starttag(self, tag, attrs):
-        named = dict(attrs)
-        if tag == "meta" and named.get("property") == "article:published_time":
-            self.meta = named.get("content") or ""
+        named = {k: v or "" for k, v in attrs}
+        if tag == "meta" and (named.get("property") or named.get("name", "")).lower() in TIMES:
+            self.published = self.published or named.get("content")
         if tag in VOID:
             return
-        self.in_data = tag == "script" and named.get("type") == "application/ld+json"
-        self.in_title = tag == "title"
+        self.depth += 1
         self.hidden += tag in HIDDEN
-        if self.article or tag == "article" or named.get("itemprop") == "articleBody":
-            self.article += 1
-        self.depth.append(tag)
+        self.in_title = self.in_title or tag == "title"
+        if tag == "script" and named.get("type") == "application/ld+json":
+            self.data = []
+        if self.article is None and (tag == "article" or named.get("itemprop") == "articleBody"):
+            self.article = self.depth
 
     def handle_endtag(self, tag):
-        self.in_title = self.in_data = False
-        if tag not in self.depth:
+        if tag in VOID:
             return
-        while self.depth:
-            closed = self.depth.pop()
-            self.hidden -= closed in HIDDEN
-            self.article = max(0, self.article - 1)
-            if closed == tag:
-                break
+        if tag == "script" and self.data is not None:
+            self.scripts.append("".join(self.data))
+            self.data = None
+        self.hidden = max(0, self.hidden - (tag in HIDDEN))
+        self.in_title = self.in_title and tag != "title"
+        if self.article == self.depth:
+            self.article = None
+        self.depth = max(0, self.depth - 1)
 
     def handle_data(self, data):
-        if self.in_data:
+        if self.data is not None:
             self.data.append(data)
-        elif self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            (self.body if self.article else self.visible).append(data)
+        text = data.strip()
+        if self.in_title:
+            self.title.append(text)
+        elif text and not self.hidden:
+            self.visible.append(text)
+            if self.article is not None:
+                self.body.append(text)
+
+
+def _every(x):
+    """All objects within a JSON value."""
+    todo = [x]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            yield x
+        if isinstance(x, dict | list):
+            todo += reversed(list(x.values()) if isinstance(x, dict) else x)
 
 
-def _nodes(x):
-    if isinstance(x, list):
-        for y in x:
-            yield from _nodes(y)
-    elif isinstance(x, dict):
-        yield x
-        yield from _nodes(x.get("@graph", []))
+def normal_title(text: str) -> str:
+    """Words in lower case, all else one space."""
+    return re.sub(r"\W+", " ", text.lower()).strip()
 
 
-def article(text: str | None, headline: str = "") -> tuple[str, str, str]:
-    """(title, body, publication time) of a page: a story in JSON-LD that fits the headline or stands alone, else the article, else all that is visible."""
+def _is_article(node: dict) -> bool:
+    kinds = node.get("@type", [])
+    return any("article" in str(k).lower() for k in ([kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []))
+
+
+def article(html: str | None, headline: str = "") -> tuple[str, str, str]:
+    """(title, body, publication time) of a page; the body is empty if it is short or shows a barrier."""
     page = _Page()
-    page.feed(text or "")
+    page.feed(html or "")
     page.close()
-    stories = []
-    for block in page.data:
+    title, stories, dates = " ".join(page.title).strip(), [], set()
+    for block in page.scripts:
         try:
-            stories += [n for n in _nodes(json.loads(block)) if n.get("articleBody")]
+            nodes = list(_every(json.loads(block)))
         except ValueError:
             continue
-    fit = [n for n in stories if headline and str(n.get("headline", "")).casefold() == headline.casefold()] or (stories if len(stories) == 1 else [])
-    joined = lambda parts: " ".join(" ".join(parts).split())
-    if fit:
-        return str(fit[0].get("headline") or joined(page.title)), joined([str(fit[0]["articleBody"])]), str(fit[0].get("datePublished") or page.meta)
-    return joined(page.title), joined(page.body) or joined(page.visible), page.meta
-
-
-def articles(pages: DataFrame, key: str, html: str, least: int = 300) -> DataFrame:
-    """(key, status, title, n_words, body_sha256, published) of each page."""
+        stories += [n for n in nodes if isinstance(n.get("articleBody"), str)]
+        dates |= {n["datePublished"] for n in nodes if _is_article(n) and isinstance(n.get("datePublished"), str)}
+    wanted = normal_title(headline or title.split("|")[0])
+    named = [n for n in stories if normal_title(str(n.get("headline", n.get("name", "")))) == wanted]
+    story = named[0] if named else stories[0] if len(stories) == 1 else None
+    published = page.published or (dates.pop() if len(dates) == 1 else "")
+    if story is not None:
+        body = story["articleBody"]
+        given = story.get("datePublished")
+        published = given if isinstance(given, str) and re.search(r"Z|.{10}.*[+-]", given) else published
+    else:
+        shown = "\n".join(page.visible)
+        low, places = shown.lower(), [headline.lower(), re.sub(r"^X\s+", "", re.sub(r"Arrow (?:up|down)\s*", "", title.split("|")[0].strip()).strip()).lower()]
+        at = next((k for t in places if t and (k := low.find(t)) >= 0), -1)
+        body = shown[at:] if at >= 0 else "\n".join(page.body or page.visible)
+    body = PROMOTION.sub("", body)
+    barred = any(b in body[:4000].lower() for b in BARRIERS)
+    return title, "" if barred or len(body) < LEAST else body, published or ""
+
+
+def articles(pages: DataFrame, key: str, html: str, headline: str | None = None) -> DataFrame:
+    """(key, status, title, n_words, body_sha256, published) of each page; ``headline`` names a column with the title that is expected."""
 
     def run(batches):
         for batch in batches:
-            found = [article(x) for x in batch.column(1).to_pylist()]
+            found = [article(x, h or "") for x, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = [
                 batch.column(0),
-                pa.array(["read" if len(b) >= least else "unavailable" for _, b, _ in found], pa.string()),
+                pa.array(["read" if b else "unavailable" for _, b, _ in found], pa.string()),
                 pa.array([t for t, _, _ in found], pa.string()),
                 pa.array([len(b.split()) for _, b, _ in found], pa.int64()),
                 pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b, _ in found], pa.string()),
@@ -96,6 +137,7 @@ def articles(pages: DataFrame, key: str, html: str, least: int = 300) -> DataFra
             ]
             yield pa.RecordBatch.from_arrays(columns, ["key", "status", "title", "n_words", "body_sha256", "published"])
 
-    narrow = pages.select(key, html)
+    expected = F.col(f"`{headline}`") if headline else F.lit(None).cast("string")
+    narrow = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{html}`").alias("html"), expected.alias("headline"))
     kind = narrow.schema[0].dataType.simpleString()
     return narrow.mapInArrow(run, f"key {kind}, status string, title string, n_words long, body_sha256 string, published string").withColumnRenamed("key", key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, collection, identity, impact, macro, queue, report, retention
+from ..operators import asof, collection, html, identity, impact, macro, queue, report, retention
 from ..sources import imports, raw, versions
 from . import adapters as A
 from .oracles import ADMITTED, NEWS, REVIEWS, SIZES, SYNTHESIS, TOKENS, VISIBLE, WORDS, _macro, _scored, _sum_of
@@ -395,6 +395,20 @@ def changed_plan(spark: SparkSession, d: str) -> DataFrame:
     return collection.changed_plan(plan, now).select("task_id", "side")
 
 
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, html, {_ENTITIES.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, regexp_replace(substr(html, strpos(html, '</head>')), '<(nav|footer|aside|script|style)[ >].*?</(nav|footer|aside|script|style)>|<!--.*?-->', '', 'gs') AS shown FROM pages),
+d AS (SELECT page_id, title, array_to_string(list_filter(list_transform(regexp_split_to_array(shown, '<[^<>]*>'), lambda x: regexp_replace({_ENTITIES.format("x")}, '^[\s\x1c-\x1f\x85\p{{Z}}]+|[\s\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM p),
+b AS (SELECT page_id, title, CASE WHEN strpos(lower(text), lower(trim(split_part(title, '|', 1)))) > 0 THEN substr(text, strpos(lower(text), lower(trim(split_part(title, '|', 1))))) ELSE text END AS body FROM d),
+c AS (SELECT page_id, title, CASE WHEN length(body) < 300 OR regexp_matches(lower(substr(body, 1, 4000)), 'access denied|verify you are human|enable javascript and cookies|we do not host the original article|stores the headline, source, and snippet') THEN '' ELSE body END AS body FROM b)
+SELECT page_id, CASE WHEN body = '' THEN 'unavailable' ELSE 'read' END AS status, trim(title) AS title, sha256(body) AS body_sha256 FROM c"""
+)
+def html_article_text(spark: SparkSession, d: str) -> DataFrame:
+    return html.articles(A.table(spark, d, "pages"), "page_id", "html").select("page_id", "status", "title", "body_sha256")
+
+
 # Storage ---------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, collection, dedupe, html, identity, impact, lexicon, macro, retention, reviews, workflow
+from ..operators import asof, collection, dedupe, identity, impact, lexicon, macro, retention, reviews, workflow
 from ..sources import feeds, versions
 from . import adapters as A
 from .oracles import ORACLE_SQL  # noqa: F401
@@ -233,11 +233,6 @@ def review_admissibility_violations(spark: SparkSession, d: str) -> DataFrame:
     return A.reviews(spark, d).select("row_ord", impact.invalid(at).alias("violation")).filter("violation IS NOT NULL").groupBy("violation").agg(F.count("*").alias("n"), F.min("row_ord").alias("first"))
 
 
-@query
-def html_article_text(spark: SparkSession, d: str) -> DataFrame:
-    return html.articles(A.table(spark, d, "pages"), "page_id", "html")
-
-
 def _headline_payloads(spark: SparkSession, d: str) -> DataFrame:
     """A vendor's JSON list for each user."""
     entry = F.struct(
