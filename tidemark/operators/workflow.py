@@ -13,7 +13,7 @@ STATUSES = ["pending", "unrelated", "unresolved", "verified"]
 def coverage(tasks: DataFrame, states: DataFrame, cutoff: str) -> DataFrame:
     """One row: the tasks published by the cutoff, by status at the cutoff."""
     at = F.lit(cutoff).cast("timestamp")
-    rows = tasks.filter(F.col("published_at").isNull() | (F.col("published_at") <= at)).join(states_asof(states, cutoff).select("task_id", "status"), "task_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+    rows = tasks.select("task_id", "published_at").filter(F.col("published_at").isNull() | (F.col("published_at") <= at)).join(states_asof(states, cutoff).select("task_id", "status"), "task_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
     counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
     return rows.agg(*counts, F.count("*").alias("total")).withColumns({"completed": F.col("total") - F.col("pending"), "all_processed": F.col("pending") == 0})
 
@@ -53,8 +53,3 @@ def first_success(attempts: DataFrame) -> DataFrame:
     stop = attempts.groupBy("task_id").agg(F.min(F.when(got, F.col("attempt_ord"))).alias("first"), F.count("*").alias("n"))
     hit = attempts.filter(got).select("task_id", F.col("attempt_ord").alias("first"), "kind")
     return stop.join(hit, ["task_id", "first"], "left").select("task_id", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce(F.col("first") + 1, F.col("n")).cast("bigint").alias("attempts"), F.when(F.col("first").isNull(), "no_usable_evidence").otherwise("ok").alias("reason"))
-
-
-def state_hash(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """SHA-256 of the rows as JSON in order; for queues that a driver could hold."""
-    return rows.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(*order, *columns)))).cast("binary"), 256).alias("state_hash"))

@@ -101,9 +101,9 @@ class Store:
         """Versions kept in another format (``read`` makes a frame of their path) as Parquet, checked row by row before the catalog points to it."""
         done = []
         for row in self.catalog().filter(F.col("name") == self._named(name)).orderBy("version").collect():
-            if f"{self.root}/{name}/version=" in row["path"]:
+            if row["path"].startswith((f"{self.root}/{name}/version=", f"{self.root}/{name}/converted=")):
                 continue
-            df, path = read(row["path"]), f"{self.root}/{name}/version={row['version']}"
+            df, path = read(row["path"]), f"{self.root}/{name}/converted={row['version']}"
             df.write.mode("errorifexists").parquet(path)
             back = self.spark.read.parquet(path)
             if not (df.exceptAll(back).isEmpty() and back.exceptAll(df).isEmpty()):
