@@ -805,3 +805,64 @@ def test_overlay_of_windows():
     r, k = l + rng.integers(least - 1, 97, 300), rng.integers(0, passages.HASHES, 300)
     want = [len({k[j] for j in range(300) if k[j] != k[i] and min(r[i], r[j]) - max(l[i], l[j]) + 1 >= least}) >= passages.AGREE - 1 for i in range(300)]
     assert passages.overlaid(l, r, k).tolist() == want
+
+
+# Hostile rows ----------------------------------------------------------------------------
+
+CLASHING = ["key", "h", "n", "u", "v", "fp", "node", "root", "bucket", "chunk", "payload", "sign", "kind", "pos", "batch", "drop", "last", "item", "item_id", "region", "row", "check", "words", "edits", "spans", "labels", "score", "count", "path", "hash"]
+
+
+def hostile_rows():
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long = text(120_000)
+    zeros = "1.2.3." + "0" * 6000 + "4 " + "9" * 6000 + " +" + "1" * 6000
+    texts = ["", None, "\n" * 3000, " " * 5000, "x" * 200_000, "the " * 20_000, long, zeros, *thue_morse(4096), "a@" * 5000, "@" * 5000 + "a.b", "\x00\x1f\x7f", " \u0085é漢字😀" * 500, "[at] (dot) " * 3000, "one two three " * 3000, text(80), text(80) + " tail", "MIT License " * 2000]
+    rows = [(i, t, "en", "src0" if i % 2 else None, None if i % 3 else i) for i, t in enumerate(texts)]
+    rows += [(None, text(60), None, None, None), (None, None, None, None, None), (-(2**63), text(40), "en", "", 1), (2**63 - 1, text(40), "en", "s", 1), *[(500, texts[-3], "en", "src1", 7)] * 3, (500, "another " * 40, "en", "src1", 7)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    rows = [r + tuple(range(len(CLASHING))) for r in hostile_rows()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHING)).repartition(4)
+
+
+ITEMS = [(1, "the the the the the the the the"), (2, None), (None, "one two three one two three"), (3, ""), (3, "x" * 3000), (4, "é漢字😀"), (4, "é漢字😀")]
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_hostile_rows(spark, hostile, name, tmp_path):
+    """Every query ends, with a row for each row (or id, or match)."""
+    hostile.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    ids = [r["doc_id"] for r in got.collect()]
+    rows = hostile_rows()
+    if name == "op1_decontamination":
+        assert ids and set(ids) <= {r[0] for r in rows}
+    elif name == "op7_passages":
+        assert sorted(ids, key=repr) == sorted({r[0] for r in rows}, key=repr)
+    else:
+        assert sorted(ids, key=repr) == sorted([r[0] for r in rows], key=repr)
+
+
+def test_columns_with_dots_and_other_names(spark):
+    rows = [(i, t, "s") for i, t in enumerate(["one two three four five six seven " * 9, None, "", LINE, LINE, LINE + " the end " * 30])]
+    df = spark.createDataFrame(rows, "`the.id` long, `a text` string, `host.name` string")
+    names = {"key": "the.id", "text": "a text"}
+    benchmark = spark.createDataFrame([(1, LINE)], "item_id long, text string")
+    path = registry.RANKS
+    assert decontaminate.decontaminate(df, benchmark, **names).columns == df.columns
+    assert decontaminate.matches(df, benchmark, **names).count() >= 3
+    assert lines.dedup_lines(df, **names).columns == df.columns
+    ids = bpe.encode_texts(df, path, **names)
+    assert ids.columns == ["the.id", "ids"] and bpe.decode_ids(ids, path, key="the.id").count() == 6
+    assert language_model.score(df, **names).count() == 6
+    assert pii.find(df, **names).columns == ["the.id", "spans"]
+    assert passages.passage_links(df, **names).count() == 0
+    assert set(df.columns) <= set(license_scan.scan(df, text="a text").columns)
+    assert simhash.near_dedup(df, **names).columns == df.columns
+    assert quality.quality_filter(df, text="a text", host="host.name").columns == df.columns

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import xxhash
-from test_llm_operators import ascii_lower, benchmark_words, brute_place, brute_quality, tik, words_of
+from test_llm_operators import CLASHING, ITEMS, ascii_lower, benchmark_words, brute_place, brute_quality, hostile_rows, tik, words_of
 
 import corpus_pipeline
 from tidemark.llm import decontaminate
@@ -72,3 +72,25 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, str(tmp_path)).columns == COLUMNS
+
+
+def test_hostile_rows_through_all_stages(spark, tmp_path):
+    """Nulls, repeated and very long rows, extremes of ids, and columns whose names the stages use, too."""
+    rows = [r + tuple(range(len(CLASHING))) for r in hostile_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHING))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        before, docs = docs.count(), spark.read.schema(docs.schema).parquet(path)
+        assert 0 < docs.count() <= before, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0

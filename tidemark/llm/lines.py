@@ -26,6 +26,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import delete, new_path, release, spread
 from .textbatch import buffers
@@ -178,29 +179,31 @@ def _marked(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     return docs.join(drops, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(f"{P}key")), "left").drop(f"{P}key")
 
 
-def _kept(batch: pa.RecordBatch, text: str):
-    """(lines, dropped lines, kept bytes) of each row."""
-    raw, at = buffers(batch.column(batch.schema.get_field_index(text)))
-    whole, drops = raw.tobytes(), batch.column(batch.schema.get_field_index(f"{P}drop"))
+def _kept(batch: pa.RecordBatch, text: int, drop: int):
+    """(lines, dropped lines, kept bytes) of each row; text and drop are the columns' places."""
+    raw, at = buffers(batch.column(text))
+    whole, drops = raw.tobytes(), batch.column(drop)
     for d, (a, b) in enumerate(zip(at, at[1:], strict=False)):
         lines = whole[a:b].split(b"\n")
         kept = lines
         if drops[d].is_valid:
-            drop = set(drops[d].as_py())
-            kept = [x for x in lines if line_key(x) not in drop]
+            gone = set(drops[d].as_py())
+            kept = [x for x in lines if line_key(x) not in gone]
         yield len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with repeated lines taken out of the text; the other columns as they are."""
+    place, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches):
         for batch in batches:
-            out = pa.array([x.decode("utf-8", "replace") for _, _, x in _kept(batch, text)], pa.string())
-            columns = [out if c == text else batch.column(i) for i, c in enumerate(batch.schema.names) if c != f"{P}drop"]
-            yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != f"{P}drop"])
+            out = pa.array([x.decode("utf-8", "replace") for _, _, x in _kept(batch, place, len(names))], pa.string())
+            yield pa.RecordBatch.from_arrays([out if i == place else batch.column(i) for i in range(len(names))], names)
 
-    return _marked(docs, key, text, **options).mapInArrow(run, docs.schema)
+    # By place, as names may hold points.
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    return _marked(docs, key, text, **options).toDF(*names, f"{P}drop").mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -208,7 +211,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = list(_kept(batch, "text"))
+            rows = list(_kept(batch, 1, 2))
             columns = [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -80,6 +81,13 @@ def segment_hash(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return mixed(sums + lens.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def returned() -> None:
+    """Gives freed memory back to the system: a worker keeps what earlier steps took while the JVM needs its own."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """The arrays in one blob, packed."""
     body = b"".join(a.tobytes() for a in arrays)
