@@ -348,7 +348,7 @@ def test_seats_give_probabilities():
         root = L.Root(int(state.at_root().sum()), int(state.root.t.sum()), v, (0.5, 0.7))
         contexts, _, tables = state.contexts()
         state.sweep(tables[np.searchsorted(contexts, state.u)], root, (none, none, none), rng)
-        state = L.State.read(state.blob())
+        state = L.State.read(state.cells_blob(), state.seats_blob())
         assert (state.seats.t <= state.c).all() and (state.seats.t >= 1).all() and (state.root.t <= state.at_root()).all()
         large = state.seats.tables
         assert np.array_equal(state.c[state.seats.large], np.add.reduceat(large.sizes, large.bounds[:-1]))
@@ -363,6 +363,13 @@ def test_seats_give_probabilities():
         assert abs(L.leaf(*at, customers, tables, p0, 0.7).sum() - 1) < 1e-9
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(4)
+    arrays = [rng.integers(0, 200, 999), np.zeros(0, np.int64), rng.integers(-5, 70000, 50), np.where(rng.random(4000) < 0.01, 1 << 40, 3), rng.integers(-(2**62), 2**62, 30), rng.random(7).astype("<f4"), np.array([255, 256, 65535, 65536, -1])]
+    for x, y in zip(arrays, language_model._unpacked(language_model._packed(*arrays)), strict=True):
+        assert np.array_equal(x, y)
+
+
 def test_hot_tokens_are_dealt_by_context(spark):
     """With many buckets a token in every other place is hot; what texts score does not depend on the buckets but for chance."""
     rng = random.Random(8)
@@ -578,6 +585,17 @@ def test_simhash_links(spark):
     assert got == {(a, b) for a in marks for b in marks if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def test_pivot_tables_discard(spark):
+    """Of all pairs the tables leave few, of these the coordinate bound discards most that are no links, and it loses none."""
+    rng = random.Random(17)
+    marks = {rng.getrandbits(64) for _ in range(700)}
+    marks |= {m ^ 1 << rng.randrange(64) for m in marks for _ in range(2)} | {m ^ rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) for m in marks for _ in range(3)}
+    prints = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in marks], "fp long")
+    pairs = simhash.candidates(prints).distinct()
+    n = [df.count() for df in (pairs, simhash.bounded(pairs), simhash.links(prints))]
+    assert n[0] < 0.01 * len(marks) ** 2 / 2 and n[2] <= n[1] < n[2] + 0.3 * (n[0] - n[2])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 150)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -11,7 +11,9 @@ copies; components are found by stars over tables in the shared folder.
 
 Defined cases: a text without words has fingerprint zero and links like any other; a null
 text counts as empty; ``component_id`` is the smallest id of the component, nulls left out
-(null if all are); rows with one id stay or go together; an empty table stays empty.
+(null if all are); rows with one id stay or go together; a bit set in just half of the
+hashes is 0; a very long text is hashed whole, its shingles' bits summed in pieces; an empty
+table stays empty; other columns pass through, whatever their names. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -73,19 +75,27 @@ def pivots(fp: Column) -> list[list[Column]]:
     return [[F.bit_count(fp.bitwiseXOR(F.lit(r)).bitwiseAND(F.lit(m))) for r in references()] for m in masks]
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): distinct fingerprints of ``prints`` (fp, no repeats) that differ in 1 to radius bits."""
+def candidates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): distinct fingerprints of ``prints`` (fp, no repeats) whose table rows are equal in all but ``radius`` blocks, once for each choice of blocks."""
     rows = [F.xxhash64(F.array(*coords)) for coords in pivots(F.col("fp"))]
     tabled = prints.select("fp", F.array(*rows).alias("rows"))
     choices = itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - radius)
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.get("rows", F.lit(b)) for b in choice]) for k, choice in enumerate(choices)])
     keyed = tabled.select("fp", F.explode(keys).alias("key"))
-    pairs = keyed.alias("a").join(keyed.select(F.col("fp").alias("v"), F.col("key")).alias("b"), F.col("a.key") == F.col("b.key")).filter("a.fp < v").select(F.col("fp").alias("u"), "v")
+    return keyed.alias("a").join(keyed.select(F.col("fp").alias("v"), F.col("key")).alias("b"), F.col("a.key") == F.col("b.key")).filter("a.fp < v").select(F.col("fp").alias("u"), "v")
+
+
+def bounded(pairs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The pairs whose largest coordinate differences, summed over the blocks, are within the radius: no link is lost, as a block's coordinates differ by no more than the blocks do."""
     apart = F.lit(0)
     for x, y in zip(pivots(F.col("u")), pivots(F.col("v")), strict=True):
         apart = apart + F.greatest(*[F.abs(p - q) for p, q in zip(x, y, strict=True)])
-    survivors = pairs.filter(apart <= radius)
-    return survivors.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
+    return pairs.filter(apart <= radius)
+
+
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): distinct fingerprints of ``prints`` (fp, no repeats) that differ in 1 to radius bits."""
+    return bounded(candidates(prints, radius), radius).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
