@@ -167,5 +167,23 @@ def test_commands_from_import_to_report(spark, tmp_path, capsys):
     text = "\n".join(go("reproduce", "--run-id", made["run_id"])[1]["report"])
     assert code == 0 and "10-year less 2-year yield (points): 0.5000" in text and "Firm beats" in text and "Direction bullish" in text and "default identity US:XNAS:ABC" in text
     assert "1 more records" in text and "pending 1" in text
+    review = {"title": "A headline", "impact_reason": "large", "reviewed_at": "2024-01-04T00:00:00Z", "grade": "bearish", "grade_reason": "cost", "fact_summary": "facts", "evidence_scope": "full_text", "event_cluster": "c2"}
+    review |= {**impact, "direction_sign": -1, "event_time": "2024-01-03T00:00:00Z", "sources": [{"url": "https://a.example/x", "published_at": "2024-01-03T00:00:00Z", "evidence_locator": "p1"}]}
+    verified = {"task_id": "e2", "status": "verified", "reason": "read", "attempts": [{"kind": "article_read"}], "review": review}
+    (tmp_path / "bad.json").write_text(json.dumps([{**verified, "review": {**review, "sources": []}}]))
+    assert go("apply", "--path", f"file://{tmp_path}/bad.json")[1]["detail"] == "review refused: uncited"
+    assert go("finalize")[0] == 2
+    (tmp_path / "good.json").write_text(json.dumps([verified]))
+    assert go("apply", "--path", f"file://{tmp_path}/good.json")[1]["verified"] == 1
+    before = go("research", "--ticker", "ABC", "--cutoff", "2024-01-03 12:00:00")[1]
+    assert "over 1 events" in "\n".join(go("reproduce", "--run-id", before["run_id"])[1]["report"])
+    again = go("research", "--ticker", "ABC")[1]
+    text = "\n".join(go("reproduce", "--run-id", again["run_id"])[1]["report"])
+    assert "over 2 events" in text and "verified 1" in text
+    (tmp_path / "gone.json").write_text(json.dumps([{"task_id": "e2", "status": "unresolved", "reason": "withdrawn", "attempts": [{"kind": "search"}]}]))
+    assert go("apply", "--path", f"file://{tmp_path}/gone.json")[1]["unresolved"] == 1
+    later = go("research", "--ticker", "ABC")[1]
+    assert "over 1 events" in "\n".join(go("reproduce", "--run-id", later["run_id"])[1]["report"])
+    assert go("finalize")[0] == 0
     assert set(go("doctor")[1]["datasets"]) >= {"news", "macro", "queue-tasks"}
     assert go("reproduce", "--run-id", "none")[0] == 2

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..errors import DataError, SourceNotAllowed
 from ..functions import scalars as S
@@ -27,19 +28,15 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).filter(F.trim("value") != "")
         return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     if path.endswith(".json"):
-        whole = spark.read.text(path, wholetext=True).select(S.stripped(F.regexp_replace("value", "^﻿", "")).alias("value"))
-        strict = {"mode": "FAILFAST"}
-        many, one = f"array<struct<{_fields(schema)}>>", f"struct<{_fields(schema)}>"
+        whole = spark.read.text(path, wholetext=True).select(S.stripped(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
+        strict, one = {"mode": "FAILFAST"}, StructType.fromDDL(schema)
         packed = F.get_json_object("value", "$.records")
-        rows = F.when(F.col("value").startswith("["), F.from_json("value", many, strict)).when(packed.isNotNull(), F.from_json(packed, many, strict)).otherwise(F.array(F.from_json("value", one, strict)))
+        many = F.when(F.col("value").startswith("["), F.col("value")).otherwise(packed)
+        rows = F.when(many.isNotNull(), F.from_json(many, ArrayType(one), strict)).otherwise(F.array(F.from_json("value", one, strict)))
         return whole.select(F.explode(rows).alias("r")).select("r.*")
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def _fields(schema: str) -> str:
-    return ", ".join(f"{name}: {kind}" for name, kind in (field.strip().split(None, 1) for field in schema.split(",")))
-
-
 def prepared(kind: str, df: DataFrame, market: str, source_id: str = "user_import") -> DataFrame:
     """Records that may be stored: the policy admits them, all required columns are there, defaults filled, dates and values normal."""
     if kind not in versions.REQUIRED:

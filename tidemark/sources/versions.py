@@ -67,7 +67,7 @@ class Store:
         """Write a snapshot, named by its time and a hash of its rows, and register it."""
         columns = [F.col(f"`{c}`") for c in df.columns]
         rows, digest = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
-        version = f"{re.sub('[^0-9]', '', created_at)[:14]}-{int(digest or 0) & (1 << 48) - 1:012x}"
+        version = f"{re.sub('[^0-9]', '', created_at)[:20]}-{int(digest or 0) & (1 << 48) - 1:012x}"
         path = f"{self.root}/{self._named(name)}/version={version}"
         df.write.mode("errorifexists").parquet(path)
         self._append("catalog", f"{CATALOG}, turn int", (name, version, path, rows, None, 0), created_at)
