@@ -136,6 +136,13 @@ def test_macro_map_and_policy():
             report.impact_policy(bad)
 
 
+def test_requests():
+    assert report.checked_request("US", [" abc ", ""], 1) == ["ABC"]
+    for bad in (("UK", ["A"], 1), ("US", [" "], 1), ("US", ["A"], 0)):
+        with pytest.raises(DataError):
+            report.checked_request(*bad)
+
+
 def test_numbers_as_reports_print_them(spark):
     df = spark.createDataFrame([(0.0625,), (0.1875,), (-1.0,), (2.0005,)], "x double")
     assert [r[0] for r in df.select(S.fixed(F.col("x"), 3, sign=True)).collect()] == ["+0.062", "+0.188", "-1.000", "+2.000"]

@@ -186,3 +186,19 @@ def outbound_url(url: Column) -> Column:
 def loopback_url(url: Column) -> Column:
     """Whether a service's address stays on this machine: http or https, a loopback host, a port, no user and no query."""
     return F.coalesce(url.rlike(r"^(?i:https?)://(?i:localhost|127\.0\.0\.1|\[::1\]):[0-9]{1,5}(/[^?#@]*)?$"), F.lit(False))
+
+
+def normal_title(text: Column) -> Column:
+    """Letters, digits and underscores in lower case, all else one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+def session_close(day: Column, offset_hours: Column, close_hour: int = 16) -> Column:
+    """When a session of a local day closes, in UTC, for a place so many hours ahead of it."""
+    return F.timestamp_micros((F.unix_date(day).cast("bigint") * 24 + close_hour - offset_hours) * 3_600_000_000)
+
+
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """A flat object as JSON with its keys in order, texts quoted alike everywhere, nulls kept."""
+    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null"))) for name, value in sorted(columns.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import versions
-from . import asof, dedupe, impact, lexicon, macro, workflow
+from . import asof, dedupe, identity, impact, lexicon, macro, workflow
 
 DATASETS = ["securities", "news", "macro"]
 LIMIT = 50
@@ -132,13 +132,19 @@ def impact_policy(changes: dict | None = None) -> dict:
     return out
 
 
+def checked_request(market: str, tickers: list[str], lookback_days: int) -> list[str]:
+    """The tickers in upper case, if a market is known, a ticker is named and the window is a day at least."""
+    named = [t.strip().upper() for t in tickers if t.strip()]
+    if market not in ("US", "HK") or not named or lookback_days < 1:
+        raise versions.DataError("a request has a market, a ticker and a window of a day or more")
+    return named
+
+
 def research(events: DataFrame, reviews: DataFrame, observations: DataFrame, tasks: DataFrame, states: DataFrame, securities: DataFrame, market: str, tickers: list[str], cutoff: str, lookback_days: int = 30, changes: dict | None = None) -> dict[str, DataFrame]:
     """The parts of a report on some tickers of a market as of a cutoff; ``lines`` is all of it."""
-    spark = events.sparkSession
-    wanted = spark.createDataFrame([(k, t.strip().upper(), market, cutoff[:10]) for k, t in enumerate(tickers)], "ord int, ticker string, market string, day string").withColumn("day", F.col("day").cast("date"))
-    from .identity import resolve
-
-    identities = resolve(wanted.withColumnRenamed("ord", "request_id"), securities).withColumnRenamed("request_id", "ord").join(wanted, "ord")
+    spark, tickers = events.sparkSession, checked_request(market, tickers, lookback_days)
+    wanted = spark.createDataFrame([(k, t, market, cutoff[:10]) for k, t in enumerate(tickers)], "ord int, ticker string, market string, day string").withColumn("day", F.col("day").cast("date"))
+    identities = identity.resolve(wanted.withColumnRenamed("ord", "request_id"), securities).withColumnRenamed("request_id", "ord").join(wanted, "ord")
     ids = [r["security_id"] for r in identities.collect()]  # one for each ticker asked for
     chosen = asof.for_securities(events, market, ids)
     shown = context(chosen, cutoff, lookback_days)

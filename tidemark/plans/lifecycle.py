@@ -148,6 +148,23 @@ def address_guards(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", S.outbound_url(F.col("url")).alias("outbound"), S.loopback_url(F.col("url")).alias("loopback"))
 
 
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS normal_sha256 FROM documents")
+def normal_titles(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "documents").select("doc_id", F.sha2(S.normal_title(F.col("text")).cast("binary"), 256).alias("normal_sha256"))
+
+
+@query("SELECT o_orderkey, epoch_us(o_orderdate::DATE + INTERVAL 16 HOUR) - CASE o_orderkey % 3 WHEN 0 THEN -5 WHEN 1 THEN 8 ELSE 0 END * 3600000000 AS closed FROM orders")
+def session_closes(spark: SparkSession, d: str) -> DataFrame:
+    close = S.session_close(F.col("o_orderdate").cast("date"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN -5 WHEN 1 THEN 8 ELSE 0 END"))
+    return A.table(spark, d, "orders").select("o_orderkey", F.unix_micros(close).alias("closed"))
+
+
+@query("""SELECT n_nationkey, sha256('{"key":' || n_nationkey || ',"name":' || to_json(n_name || ' "x" ' || chr(10))::VARCHAR || ',"region":null}') AS canonical_sha256 FROM nation""")
+def canonical_objects(spark: SparkSession, d: str) -> DataFrame:
+    text = S.canonical_json({"name": S.json_quoted(F.concat("n_name", F.lit(' "x" \n'))), "region": F.lit(None).cast("string"), "key": F.col("n_nationkey").cast("string")})
+    return A.table(spark, d, "nation").select("n_nationkey", F.sha2(text.cast("binary"), 256).alias("canonical_sha256"))
+
+
 # The review queue ------------------------------------------------------------------------
 
 
