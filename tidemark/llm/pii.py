@@ -108,7 +108,8 @@ def _folds() -> dict[int, str]:
 
 
 _FOLD = _folds()
-_FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_FOLD)))) + "]")
+_FOLD_CHARS = frozenset(map(chr, _FOLD))
+_NON_ASCII = re.compile("[^\\x00-\\x7f]")
 
 #: The digits' names from nought on, in four languages, and the words for plus, dot and at.
 _NAMES = ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"]
@@ -142,7 +143,7 @@ def _signs(text: str) -> bool:
     low = " " + (text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
     if any(w in low for w in _WORD_SIGNS) or _BRACKET_SIGN.search(low) or _DIGIT_SIGN.search(low) or "point" in low and _POINT_SIGN.search(low):
         return True
-    return not text.isascii() and bool(_FOLDED.search(text) or _NONE_SIGN.search(text))
+    return not text.isascii() and (not _FOLD_CHARS.isdisjoint(_NON_ASCII.findall(text)) or bool(_NONE_SIGN.search(text)))
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,7 +159,7 @@ class Normal:
 
     def __init__(self, text: str):
         folded = text.translate(_FOLD)  # one character for one: offsets hold
-        self.changed = [m.start() for m in _FOLDED.finditer(text)]
+        self.changed = [m.start() for m in _NON_ASCII.finditer(text) if m[0] in _FOLD_CHARS]
         self.pieces: list[tuple[int, int, int, int]] = []  # output start and end, source start and end, of rewritten pieces
         parts, done, size = [], 0, 0
         for m in _REWRITES.finditer(folded):
