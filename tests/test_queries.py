@@ -8,6 +8,7 @@ import pytest
 from compare import differences
 from pyspark.sql import functions as F
 
+from tidemark.errors import DataError
 from tidemark.functions import scalars as S
 from tidemark.operators import dedupe, html, impact, lexicon, workflow
 from tidemark.plans import registry
@@ -141,7 +142,7 @@ def test_store(spark, tmp_path):
     a = store.save("news", spark.range(3), "2024-01-01 00:00:00")
     b = store.save("news", spark.range(5), "2024-01-02 00:00:00")
     assert a != b and store.load("news").count() == 5 and store.load("news", a).count() == 3
-    with pytest.raises(KeyError):
+    with pytest.raises(DataError):
         store.load("other")
     with pytest.raises(ValueError):
         store.save("../x", spark.range(1), "2024-01-01 00:00:00")
