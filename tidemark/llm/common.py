@@ -55,6 +55,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def batched(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, whose session sends texts to Python in batches of so many rows at most, where it says nothing else: buffers grow with the batch, and the JVM keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) == 10_000:  # the default
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here and sizes are known."""
     path = new_path(df.sparkSession, name)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import delete, new_path, release, spread
+from .common import batched, delete, new_path, release, spread
 from .textbatch import buffers
 
 BATCHES = 4  # at least
@@ -62,7 +62,7 @@ def line_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(out, pa.binary())], ["key", "h"])
 
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    return narrow.mapInArrow(run, "key long, h binary")
+    return batched(narrow).mapInArrow(run, "key long, h binary")
 
 
 @contextmanager

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import batched, staged
 from .graph import components
 from .textbatch import buffers
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["key", "fp"])
 
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    return narrow.mapInArrow(run, "key long, fp long")
+    return batched(narrow).mapInArrow(run, "key long, fp long")
 
 
 def references() -> list[int]:
