@@ -45,19 +45,19 @@ def folded(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, WHITE, " ")))
 
 
-def json_quoted(text: Column) -> Column:
-    """The text as a JSON string: quotes, backslashes and control characters escaped, hexadecimal digits in lower case."""
+def json_quoted(text: Column, upper: bool = False) -> Column:
+    """The text as a JSON string: quotes, backslashes and control characters escaped, hexadecimal digits in lower case, or upper if asked."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
     clean = out
     for k in range(32):
-        clean = F.replace(clean, F.lit(chr(k)), F.lit(short.get(k, f"\\u{k:04x}")))
+        clean = F.replace(clean, F.lit(chr(k)), F.lit(short.get(k, f"\\u{k:04X}" if upper else f"\\u{k:04x}")))
     return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), clean).otherwise(out), F.lit('"'))
 
 
-def body_hash(body: Column) -> Column:
-    """SHA-256 of the folded body as a JSON string; empty for no body. Bodies of white space alone are alike."""
-    return F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).otherwise(F.sha2(json_quoted(folded(body)).cast("binary"), 256))
+def body_hash(body: Column, upper: bool = False) -> Column:
+    """SHA-256 of the folded body as a JSON string, whose escapes have upper-case digits if asked; empty for no body. Bodies of white space alone are alike."""
+    return F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).otherwise(F.sha2(json_quoted(folded(body), upper).cast("binary"), 256))
 
 
 def iso(ts: Column) -> Column:
