@@ -309,6 +309,37 @@ def test_seating_against_all_partitions(c, d, theta, others, parent):
     assert abs(np.bincount(tables.t, minlength=c + 1)[1:] / n - want).max() < 0.015
 
 
+@pytest.mark.parametrize("d, others, parent", [(0.05, 30000, 0.01), (0.3, 40, 0.02), (0.7, 500, 0.05), (0.7, 600000, 0.5), (0.9, 60000, 0.05)])
+def test_large_cells_are_drawn_from_their_law(d, others, parent):
+    """One draw from one table each, however many customers, against the recursion of the Stirling numbers."""
+    c, theta = 1500, 1.0
+    row, t = np.full(c + 1, -np.inf), np.arange(c + 1)
+    row[1] = 0
+    with np.errstate(divide="ignore"):
+        for n in range(1, c):
+            row = np.logaddexp(np.append(-np.inf, row[:-1]), row + np.log(np.maximum(n - t * d, 0)))
+    weight = row[1:] + np.cumsum(np.log((theta + d * (others + t[:-1])) * parent))
+    want = np.exp(weight - weight.max())
+    want /= want.sum()
+    ((first, found),) = language_model._law(np.array([c]), np.array([others]), np.array([parent]), d, theta)
+    got = np.zeros(c)
+    got[first - 1 : first - 1 + len(found)] = np.exp(found - found.max()) / np.exp(found - found.max()).sum()
+    assert abs(got - want).sum() < 1e-5
+    n, mean = 400, (want * t[1:]).sum()
+    full = lambda x: np.full(n, x)
+    drawn = language_model.Seats.first(full(c)).drawn(full(c), full(others + 1), full(parent), d, theta, np.random.default_rng(7)).t
+    assert abs(drawn.mean() - mean) < 5 * np.sqrt((want * (t[1:] - mean) ** 2).sum() / n) + 1e-9
+
+
+def test_counts_of_any_size():
+    """Where the table of Stirling numbers ends the law goes on; for very many customers it is negative binomial, one more by size."""
+    n, p, others, d, theta = 400, 0.01, 1000, 0.7, 1.0
+    full = lambda x: np.full(n, x)
+    means = [language_model.seat(full(c), full(1), full(others + 1), full(p), d, theta, np.random.default_rng(1)).mean() for c in (1024, 1025, 10**9)]
+    assert abs(means[0] - means[1]) < 0.5
+    assert abs(means[2] - 1 - (theta / d + others + 1) * p / (1 - p)) < 0.9
+
+
 def test_customers_who_come_and_go():
     rng = np.random.default_rng(1)
     c = rng.integers(65, 4000, 300)

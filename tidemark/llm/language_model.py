@@ -8,12 +8,11 @@ tables of every cell and of every token at the root given the parents' probabili
 other tables; the predictive probabilities of the sweeps kept are averaged, and a text's
 score is the sum of their logarithms.
 
-Cells of one customer have one table. Those of up to ``STIRLING`` customers are drawn from
-their exact conditional, by generalised Stirling numbers. Larger ones keep the sizes of
-their tables, and ``MOVES`` of their customers at a time, drawn at random, leave and are
-seated again, which leaves the same conditional as it is. A sweep sees the totals of the
-restaurants and the root as the one before left them; customers who join the root or leave
-it between sweeps are seated in blocks of a share of those there.
+Every cell is drawn from its exact conditional given the rest, however many customers it has:
+by generalised Stirling numbers up to ``STIRLING`` customers, beyond by the law of a sum of
+Sibuya variables, which these numbers are but for known factors and whose logarithm an integral
+gives to a millionth at least. A sweep sees the totals of the restaurants and the root as the one
+before left them.
 
 Everything is split into buckets whose number grows with the data, and texts are read once,
 in chunks, which exchange dictionaries with the buckets, never tokens: first the chunk's
@@ -33,6 +32,7 @@ numbers. Words with one 64-bit hash, if two ever were, would be one token.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -49,8 +49,8 @@ BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 6, 4096
 FOLDS, HELD_OUT = 5, 1
 BURN_IN, KEPT = 2, 2
-STIRLING = 64
-MOVES = 32
+STIRLING = 1024
+MOVES = 32  # of Tables, by default; no query makes them
 HOT = 4
 THETA = (1.0, 1.0)  # root, contexts
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -227,24 +227,128 @@ def log_stirling(d: float) -> np.ndarray:
 
 
 def seat(c: np.ndarray, t: np.ndarray, tables: np.ndarray, parent: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """New table counts of cells with c customers, STIRLING at most, given all other tables of their restaurants: draws from the conditional."""
+    """New table counts of cells with c customers, given all other tables of their restaurants: draws from the conditional."""
     out = np.minimum(c, 1)
     others, log_s = np.maximum(tables - t, 0), log_stirling(d)
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(2, STIRLING + 2))
-    for n in range(2, STIRLING + 1):
-        these = order[cuts[n - 2] : cuts[n - 1]]
-        for a in range(0, len(these), 1 << 17):
-            part, steps = these[a : a + (1 << 17)], np.arange(n)
+    found = np.unique(c)
+    found = found[(found > 1) & (found <= STIRLING)]
+    for n, x, y in zip(found.tolist(), *(np.searchsorted(c[order], found, side) for side in ("left", "right")), strict=True):
+        rows = (1 << 19) // n
+        for a in range(x, y, rows):
+            part, steps = order[a : min(y, a + rows)], np.arange(n)
             rising = np.cumsum(np.log(theta + d * (others[part][:, None] + steps)), axis=1)
             weight = log_s[n, 1 : n + 1] + rising + (steps + 1) * np.log(parent[part])[:, None]
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             out[part] = 1 + np.count_nonzero(weight < (rng.random(len(part)) * weight[:, -1])[:, None], axis=1)
+    large = np.flatnonzero(c > STIRLING)
+    for a in range(0, len(large), 256):
+        part = large[a : a + 256]
+        out[part] = _seat_large(c[part], others[part], parent[part], d, theta, rng)
+    return out
+
+
+#: Of the integrals: nodes, reach in widths of the peak, least c * z of a bent path, least z of a straight one; nodes of the interpolation over t.
+NODES, WIDTHS, BENT, STRAIGHT, CHEBYSHEV = 48, 9.0, 8.0, 0.3, 20
+
+
+def _sibuya(z: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logarithm of the generating function F of Sibuya(d) at exp(-z), and its first two derivatives."""
+    y, e = -np.expm1(-z), np.exp(-z)
+    f = -np.expm1(d * np.log(y))
+    first = -d * e * y ** (d - 1) / f
+    return np.log(f), first, (d * e * y ** (d - 1) - d * (d - 1) * e * e * y ** (d - 2)) / f - first * first
+
+
+_LOG_Z = -200.0, np.log(30.0)
+
+
+def log_sibuya_sum(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log P(X_1 + ... + X_t = c) for independent Sibuya(d); t may be broken.
+
+    c! / (t! d^t) times it are the generalised Stirling numbers of c and t. It is the integral of
+    exp(c z) F(exp(-z))^t, which goes through the saddle of the integrand: straight up where that
+    is far from the branch at 0, on a parabola round the branch else; where the saddle is too
+    near to the branch, exp(c z) is taken off, whose integral is zero.
+    """
+    c, t = c.astype(np.float64), t.astype(np.float64)
+    low, high = (np.full(len(c), x) for x in _LOG_Z)
+    for _ in range(60):
+        mid = (low + high) / 2
+        falls = -t * _sibuya(np.exp(mid), d)[1] > c
+        low, high = np.where(falls, mid, low), np.where(falls, high, mid)
+    saddle, least = np.exp(low), BENT / c
+    near = (saddle < least) & (-t * _sibuya(least, d)[0] < 14)
+    straight = saddle >= STRAIGHT
+    z0 = np.where(near, least, saddle)
+    log_f, first, second = _sibuya(z0, d)
+    width = np.where(straight, t * second, 2 * z0 * (c + t * first) + 4 * z0 * z0 * t * second) ** -0.5
+    reach = np.where(straight, np.minimum(np.pi, WIDTHS * width), WIDTHS * width)
+    x = reach[:, None] * (np.arange(NODES + 1) / NODES)
+    bend = 1 + 1j * x
+    z = np.where(straight[:, None], z0[:, None] + 1j * x, z0[:, None] * bend * bend)
+    slope = np.where(straight[:, None], 1, 2 * z0[:, None] * bend)
+    power = t[:, None] * np.log1p(-((-np.expm1(-z)) ** d))
+    top = c * z0 + np.where(near, 0, t * log_f)
+    value = np.exp(c[:, None] * z - top[:, None] + np.where(near[:, None], 0, power))
+    value = (np.where(near[:, None], value * np.expm1(np.where(near[:, None], power, 0)), value) * slope).real
+    whole = value.sum(axis=1) - (value[:, 0] + value[:, -1]) / 2
+    with np.errstate(divide="ignore"):
+        return np.where(t >= c, t * np.log(d), np.log(whole * reach / (NODES * np.pi)) + top)
+
+
+def _law(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, theta: float):
+    """For each cell the least of a range of table counts and their logarithmic weights; beyond it are no more than exp(-30) of all.
+
+    The weights are log-concave. Their peak is found by the slope of the integrand at its saddle;
+    over the range, the logarithm of the law less log t is a polynomial.
+    """
+    a = theta / d + others
+    low, high = (np.full(len(c), x) for x in _LOG_Z)
+
+    def slope(log_z):
+        log_f, first, _ = _sibuya(np.exp(log_z), d)
+        t = np.clip(-c / first, 1e-9, c)
+        return np.log(parent) + np.log((a + t) / (t + 0.5)) + log_f, t
+
+    for _ in range(60):
+        mid = (low + high) / 2
+        rises = slope(mid)[0] > 0
+        low, high = np.where(rises, mid, low), np.where(rises, high, mid)
+    t = slope(low)[1]
+    (up, t_up), (down, t_down) = slope(low + 0.02), slope(low - 0.02)
+    half = 9 * np.sqrt(np.clip((t_up - t_down) / np.maximum(down - up, 1e-12), 0, c)) + 16
+    first, last = np.clip(np.floor(t - half), 1, c - 1).astype(np.int64), np.clip(np.ceil(t + half), 2, c).astype(np.int64)
+    nodes = np.cos(np.pi * (np.arange(CHEBYSHEV) + 0.5) / CHEBYSHEV)
+    fit = np.polynomial.chebyshev.chebvander(nodes, CHEBYSHEV - 1)
+    # Broken t are none near c, where F(x)^t is felt at x = 0; short ranges are taken whole, too.
+    whole = (last - first < 6 * CHEBYSHEV) | (last > c - 64)
+    at = [np.arange(x, y + 1) if w else (x + y) / 2 + (y - x) / 2 * nodes for w, x, y in zip(whole.tolist(), first.tolist(), last.tolist(), strict=True)]
+    sizes = [len(x) for x in at]
+    flat = np.concatenate(at).astype(np.float64)
+    law = np.split(np.concatenate([log_sibuya_sum(x, y, d) for x, y in zip(*(np.array_split(v, len(flat) // 4096 + 1) for v in (np.repeat(c, sizes), flat)), strict=True)]), np.cumsum(sizes)[:-1])
+    for k in range(len(c)):
+        t, h = np.arange(first[k], last[k] + 1), law[k]
+        if not whole[k]:
+            series = np.linalg.solve(fit, h - np.log(at[k]))
+            h = np.polynomial.chebyshev.chebval((2 * t - first[k] - last[k]) / (last[k] - first[k]), series) + np.log(t)
+        steps = np.log(parent[k]) + np.log((a[k] + t[:-1]) / (t[:-1] + 1))
+        yield int(first[k]), h + np.concatenate([[0], np.cumsum(steps)])
+
+
+def _seat_large(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    out = np.empty(len(c), np.int64)
+    for k, (first, weight) in enumerate(_law(c, others, parent, d, theta)):
+        weight = np.cumsum(np.exp(weight - weight.max()))
+        out[k] = first + np.searchsorted(weight, rng.random() * weight[-1], "right")
     return out
 
 
 class Tables:
-    """The sizes of the tables of large cells: cell i has sizes[bounds[i]:bounds[i + 1]]."""
+    """The sizes of the tables of cells, seated by moves of single customers: cell i has sizes[bounds[i]:bounds[i + 1]].
+
+    Another way to the law of seat, which needs many moves from far off; the model does not take it.
+    """
 
     def __init__(self, sizes: np.ndarray, t: np.ndarray):
         self.sizes, self.t = sizes.astype(np.int64), t.astype(np.int64)
@@ -332,37 +436,20 @@ def _leaving(dense: np.ndarray, block: np.ndarray, rng: np.random.Generator) ->
 
 
 class Seats:
-    """Table counts of many cells, with the sizes of the tables of the large ones."""
+    """Table counts of many cells. The sizes of the tables bear on nothing else, so that none are kept, of no cells."""
 
-    def __init__(self, t: np.ndarray, large: np.ndarray, tables: Tables):
-        self.t, self.large, self.tables = t.astype(np.int64), large.astype(np.int64), tables
+    large, tables = np.zeros(0, np.int64), Tables.one_each(np.zeros(0, np.int64))
 
-    @classmethod
-    def first(cls, c: np.ndarray) -> Seats:
-        large = np.flatnonzero(c > STIRLING)
-        return cls(np.minimum(c, 1), large, Tables.one_each(c[large]))
-
-    def arrays(self) -> list[np.ndarray]:
-        return [self.t, self.large, self.tables.sizes, self.tables.t]
+    def __init__(self, t: np.ndarray):
+        self.t = t.astype(np.int64)
 
     @classmethod
-    def read(cls, t, large, sizes, n) -> Seats:
-        return cls(t, large, Tables(sizes, n))
+    def first(cls, c: np.ndarray) -> Seats:
+        return cls(np.minimum(c, 1))
 
     def drawn(self, c: np.ndarray, tables: np.ndarray, parent: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> Seats:
         """New seats of cells with c customers, given the tables of their restaurants and the parents' probabilities."""
-        small = np.flatnonzero(c <= STIRLING)
-        t = np.minimum(c, self.t)
-        t[small] = seat(c[small], t[small], tables[small], parent[small], d, theta, rng)
-        large = np.flatnonzero(c > STIRLING)
-        # Cells that have become large start at one table.
-        at = np.minimum(np.searchsorted(self.large, large), max(0, len(self.large) - 1))
-        known = self.large[at] == large if len(self.large) else np.zeros(len(large), bool)
-        both = Tables(np.concatenate([self.tables.sizes, c[large[~known]]]), np.concatenate([self.tables.t, np.ones((~known).sum(), np.int64)]))
-        place = np.where(known, at, len(self.large) + np.cumsum(~known) - 1)
-        sizes = both.take(place).reseated(c[large], tables[large], parent[large], d, theta, rng)
-        t[large] = sizes.t
-        return Seats(t, large, sizes)
+        return Seats(seat(c, np.minimum(c, self.t), tables, parent, d, theta, rng))
 
 
 # State -----------------------------------------------------------------------------------
@@ -418,15 +505,14 @@ class State:
     @classmethod
     def read(cls, cells: bytes, seats: bytes) -> State:
         w, u, c = _unpacked(cells)
-        arrays = _unpacked(seats)
-        return cls(np.cumsum(w), np.cumsum(u), c, Seats.read(*arrays[:4]), Seats.read(*arrays[4:]))
+        return cls(np.cumsum(w), np.cumsum(u), c, *map(Seats, _unpacked(seats)))
 
     def cells_blob(self) -> bytes:
         """What no sweep changes."""
         return _packed(_steps(self.w), _steps(self.u), self.c)
 
     def seats_blob(self) -> bytes:
-        return _packed(*self.seats.arrays(), *self.root.arrays())
+        return _packed(self.seats.t, self.root.t)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(contexts, customers, tables) of the cells here."""
